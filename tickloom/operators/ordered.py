@@ -10,6 +10,11 @@ slice, and carry a small per-slice summary forward:
 * the join that brings a summary back uses the same (keys, slice) hashing, so
   the rows do not move again.
 
+* both sides come from the same rows, so each row finds its summary; with an inner
+  join both sides also get the same filters, and Spark can reuse one shuffle for both.
+
+A row without key or time has no place in a history and is left out.
+
 Time slices follow the clock. Arrival slices hold ``block`` consecutive ids and
 are bounded whatever the clock does.
 """
@@ -97,7 +102,7 @@ def previous(df: DataFrame, values: Mapping[str, Column], axis: Axis) -> DataFra
         "_first": F.row_number().over(axis.within) == 1,
         **{f"_l{i}": F.lag(values[n]).over(axis.within) for i, n in enumerate(names)},
     })
-    joined = local.join(carry, axis.slice_keys, "left")
+    joined = local.join(carry, axis.slice_keys)
     helpers = [f"_{kind}{i}" for kind in "lc" for i in range(len(names))]
     return joined.withColumns({
         n: F.when(F.col("_first"), F.col(f"_c{i}")).otherwise(F.col(f"_l{i}"))
@@ -130,7 +135,7 @@ def last_known_cut(
     carry = tails.select(*axis.slice_keys, *[
         F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_c{i}") for i in range(len(names))
     ])
-    joined = local.join(carry, axis.slice_keys, "left")
+    joined = local.join(carry, axis.slice_keys)
     kept = [c for c in cut.columns if c not in names]
     return joined.select(*kept, *[F.coalesce(f"_l{i}", f"_c{i}").alias(n) for i, n in enumerate(names)])
 
@@ -163,7 +168,7 @@ def running(
         **{f"_l_{n}": F.sum(v).over(frame) for n, v in sums.items()},
         **{f"_l_{n}": F.max(v).over(frame) for n, v in maxima.items()},
     })
-    joined = local.join(carry, axis.slice_keys, "left")
+    joined = local.join(carry, axis.slice_keys)
     out = {
         n: F.when(
             F.col(f"_l_{n}").isNotNull() | F.col(f"_c_{n}").isNotNull(),
