@@ -131,7 +131,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("feature_correlation", f"""WITH {Q.features_ctes(_FEATURES, [10, 60])}
-{' UNION ALL '.join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({'max(1.0::DOUBLE)' if a == b else f'corr({a}, {b})'}, 6) AS corr FROM features" for a in _PROFILED for b in _PROFILED)}""")
+{' UNION ALL '.join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({f'CASE WHEN var_pop({a}) > 0 THEN 1.0::DOUBLE END' if a == b else f'corr({a}, {b})'}, 6) AS corr FROM features" for a in _PROFILED for b in _PROFILED)}""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.correlate(_features(spark, sf), _PROFILED).select("col_a", "col_b", *rounded(["corr"]))
 

@@ -138,17 +138,28 @@ def correlate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Up to ``PAIRWISE_COLUMNS`` columns: one aggregation, pairs with a missing value
     skipped. Beyond: the ML Gram matrix, for which missing values must be filled before;
-    only the columns x columns matrix reaches the driver.
+    only the columns x columns matrix reaches the driver. A constant column has no
+    correlation, not even with itself.
     """
     spark = df.sparkSession
     if len(columns) <= PAIRWISE_COLUMNS:
         pairs = list(combinations(columns, 2))
-        row = df.agg(*[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+        row = df.agg(
+            *[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
+            *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
+        )
         both = [(f"p{i}", x, y) for i, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
         cells = [F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(p).alias("corr")) for p, x, y in both]
-        cells += [F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.lit(1.0).alias("corr")) for c in columns]
+        cells += [
+            F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"v{i}") > 0, 1.0).alias("corr"))
+            for i, c in enumerate(columns)
+        ]
         return row.select(F.inline(F.array(*cells)))
     packed = VectorAssembler(inputCols=list(columns), outputCol="v").transform(df.select(*columns)).select("v")
     matrix = Correlation.corr(packed, "v").first()[0].toArray()
-    cells = [(a, b, float(matrix[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)]
+    constant = [not v for v in df.agg(*[F.var_pop(c) for c in columns]).first()]
+    cells = [
+        (a, b, None if constant[i] or constant[j] else float(matrix[i, j]))
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    ]
     return spark.createDataFrame(cells, "col_a string, col_b string, corr double")

@@ -38,8 +38,14 @@ def between(
     end: dt.datetime | Column,
     timeframe: str | None = None,
 ) -> DataFrame:
-    """Rows with ``start <= time < end``; plain comparisons, so they reach the scan."""
+    """Rows with ``start <= time < end``; plain comparisons, so they reach the scan.
+
+    A stored table also has the ``date`` its folders are named by.
+    """
+    start, end = (x if isinstance(x, Column) else F.lit(x) for x in (start, end))
     out = df.filter((F.col("time") >= start) & (F.col("time") < end))
+    if "date" in df.columns:
+        out = out.filter((F.col("date") >= F.to_date(start)) & (F.col("date") <= F.to_date(end)))
     if symbols is not None:
         out = out.filter(F.col("symbol").isin(*symbols))
     if timeframe is not None:
