@@ -124,20 +124,26 @@ def last_known_cut(
     that is cheaper to get elsewhere; otherwise the last row of each slice holds it.
     """
     names = list(values)
-    so_far = axis.within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = cut.withColumns({
-        "_final": F.lead(F.lit(1)).over(axis.within).isNull(),
-        **{f"_l{i}": F.last(values[n], ignorenulls=True).over(so_far) for i, n in enumerate(names)},
-    })
+    keys, order = ", ".join(axis.slice_keys), ", ".join(axis.order)
+    over = f"over (partition by {keys} order by {order}"
+    kept = [c for c in cut.columns if c not in names]
+    # SQL text: wide tables have over a hundred columns here.
+    local = cut.select(*cut.columns, *[values[n].alias(f"_v{i}") for i, n in enumerate(names)]).selectExpr(
+        *kept,
+        f"lead(1) {over}) is null as _final",
+        *[f"last(_v{i}, true) {over} rows between unbounded preceding and current row) as _l{i}"
+          for i in range(len(names))],
+    )
     if tails is None:
         tails = local.filter("_final")
-    earlier = axis.over_slices.rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*axis.slice_keys, *[
-        F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_c{i}") for i in range(len(names))
+    parents = ", ".join(axis.keys) or "0"
+    carry = tails.selectExpr(*axis.slice_keys, *[
+        f"last(_l{i}, true) over (partition by {parents} order by {SLICE} "
+        f"rows between unbounded preceding and 1 preceding) as _c{i}"
+        for i in range(len(names))
     ])
-    joined = local.join(carry, axis.slice_keys)
-    kept = [c for c in cut.columns if c not in names]
-    return joined.select(*kept, *[F.coalesce(f"_l{i}", f"_c{i}").alias(n) for i, n in enumerate(names)])
+    return local.join(carry, axis.slice_keys).selectExpr(
+        *kept, *[f"coalesce(_l{i}, _c{i}) as {n}" for i, n in enumerate(names)])
 
 
 def running(

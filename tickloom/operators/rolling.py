@@ -64,9 +64,10 @@ def with_history(
     ``_prev_last`` (price of the tick before). A slice sees every row within
     ``seconds`` before any of its own rows or of the row before it, and the
     ``rows`` rows before its first.
+
+    Slices may be shorter than the window, down to where tasks get small enough in the
+    busiest period; a row is then copied to every slice that looks back at it.
     """
-    if slice_seconds < seconds:
-        raise ValueError("slices must be at least as long as the longest window")
     axis = by_time(seconds=slice_seconds)
     span = seconds * 1_000_000
     cut = ticks.withColumns({"_slice": time_slice(slice_seconds), "_us": S.epoch_micros(F.col("time"))})
@@ -89,12 +90,14 @@ def with_history(
             F.lag("_until").over(over).alias("_prev_until"),
         )
     )
-    # Later slices that may look back here; at most ``rows`` + 1 of them can, as each
-    # holds a row. Usually exactly one stays after the filter.
+    # Later slices that may look back here. Each of them holds a row, so ``rows`` + 1 reach
+    # over the row count, and the second term over the time. Usually one stays after
+    # the filter.
+    reach = max(rows, -(-seconds // slice_seconds) + 1) + 1
     later = F.collect_list(F.struct(
         F.col("_slice").alias("slice"), F.col("_offset").alias("offset"),
         F.col("_prev_until").alias("prev_until"),
-    )).over(over.rowsBetween(1, rows + 1))
+    )).over(over.rowsBetween(1, reach))
     slices = slices.withColumn("_later", later).withColumn("_later", F.filter("_later", lambda s: (
         (F.col("_until") > s["prev_until"] - span) | (F.col("_through") > s["offset"] - rows)
     ))).drop("_until", "_through", "_prev_until")

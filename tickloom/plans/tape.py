@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions import scalar as S
 from tickloom.operators.joins import BAR_CONTEXT, with_bar_context
 from tickloom.operators.ordered import by_time, last_known, last_known_cut
 from tickloom.operators.rolling import FEATURE_NAMES, WINDOWS, feature_columns, rolling_features
@@ -15,13 +14,12 @@ from tickloom.operators.ticks import fill_defaults
 
 
 def _or_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[
-        F.coalesce(F.col(c), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns
-    ])
+    return df.selectExpr(*[f"coalesce({c}, 0D) as {c}" if c in columns else c for c in df.columns])
 
 
-def _clean(column: str) -> F.Column:
-    return S.nan_to_null(S.finite_or_zero(F.col(column)))
+def _clean(column: str) -> Column:
+    # Infinite reads as 0, not-a-number as missing.
+    return F.expr(f"case when isnan({column}) then null when abs({column}) = double('infinity') then 0D else {column} end")
 
 
 def fill_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
