@@ -69,6 +69,15 @@ def test_extract_without_bars_has_no_gaps(spark, random_tape):
     assert out.count() == len(random_tape) and out.dropna().count() == len(random_tape)
 
 
+def test_extract_from_checkpoint_is_the_same(spark, random_tape):
+    plain, stored = (
+        extract_features(frame(spark, random_tape), features=["momentum", "volume_spike"], windows=[60], checkpoint=c)
+        .toPandas().set_index("tick_id").sort_index()
+        for c in (False, True)
+    )
+    pd.testing.assert_frame_equal(plain, stored)
+
+
 def test_asof_before_first_bar_and_over_gaps(spark):
     ticks = frame(spark, pd.DataFrame({
         "tick_id": [1, 2, 3, 4], "symbol": ["a", "a", "a", "b"],

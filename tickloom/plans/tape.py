@@ -11,6 +11,7 @@ from tickloom.operators.joins import BAR_CONTEXT, with_bar_context
 from tickloom.operators.ordered import by_time, last_known, last_known_cut
 from tickloom.operators.rolling import FEATURE_NAMES, WINDOWS, feature_columns, rolling_features
 from tickloom.operators.ticks import fill_defaults
+from tickloom.session import use_checkpoints
 
 
 def _or_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -33,11 +34,16 @@ def extract_features(
     features: Sequence[str] = FEATURE_NAMES,
     windows: Sequence[int] = WINDOWS,
     closed_bars_only: bool = False,
+    checkpoint: bool = False,
 ) -> DataFrame:
     """All features of every tick on one frame, filled.
 
     Bar context goes along as columns and the fill uses the slices the windows ran in,
-    so neither needs a join or a shuffle of the wide table.
+    so neither needs a join or a shuffle of the wide table. The fill reads the unfilled
+    table twice: for the last values of each slice and for the rows. With ``checkpoint``
+    that table is computed once and kept in the shared checkpoint folder, which runs a
+    job right away and makes the fill shuffle the wide rows; without, the windows run
+    twice over narrow rows.
     """
     base = fill_defaults(ticks)
     context: tuple[str, ...] = ()
@@ -49,5 +55,8 @@ def extract_features(
         context = BAR_CONTEXT
     wide = rolling_features(base, features, windows, keep=context, keep_slice=True)
     columns = [*feature_columns(features, windows), *context]
+    if checkpoint:
+        use_checkpoints(wide.sparkSession)
+        wide = wide.checkpoint()
     filled = last_known_cut(wide, {c: _clean(c) for c in columns}, by_time())
     return _or_zero(filled.drop("_slice"), columns)
