@@ -43,7 +43,7 @@ class Archive:
         return spark.read.schema("record long, digest string, header binary").parquet(f"{self.path}/headers")
 
     def payloads(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("digest string, payload binary, n_bytes long, first_id string, first_record long, n_records long").parquet(
+        return spark.read.schema("digest string, payload binary, n_bytes long, n_records long").parquet(
             f"{self.path}/payloads"
         )
 
@@ -57,30 +57,37 @@ def write_archive(
     """Archive ``pages`` (page_id, url, html)."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "archive")
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("record"), "page_id", "url",
-        F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"),
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    size = F.octet_length(payload).cast("long")
+    landed = stored(
+        pages.select(
+            F.monotonically_increasing_id().alias("record"), "page_id", "url", F.sha2(payload, 256).alias("digest"), size.alias("n_bytes")
+        ),
+        "page-digests",
     )
-    landed = stored(rows.withColumn("digest", F.sha2("payload", 256)), "pages")
-    first = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record")
-    size = F.octet_length("payload").cast("long")
-    same = (F.min(size) == F.max(size)) & (F.min(F.md5("payload")) == F.max(F.md5("payload")))
+    # Copies are merged before they move; each task sends a payload once.
+    content = pages.select(payload.alias("payload"), F.sha2(payload, 256).alias("digest"), size.alias("size"), F.md5(payload).alias("second"))
+    same = (F.min("size") == F.max("size")) & (F.min("second") == F.max("second"))
     (
-        landed.groupBy("digest")
-        .agg(F.min("payload").alias("payload"), F.min(size).alias("n_bytes"), F.min(first).alias("first"),
-             F.count(F.lit(1)).alias("n_records"), same.alias("same"))
+        content.groupBy("digest")
+        .agg(F.min("payload").alias("payload"), F.min("size").alias("n_bytes"), F.count(F.lit(1)).alias("n_records"), same.alias("same"))
         .select(
             "digest", "payload",
             F.when(F.col("same"), F.col("n_bytes")).otherwise(F.raise_error(F.lit("one digest, different payloads"))).alias("n_bytes"),
-            F.col("first.page_id").cast("string").alias("first_id"), F.col("first.record").alias("first_record"), "n_records",
+            "n_records",
         )
-        .write.parquet(f"{path}/payloads")
+        .write.option("compression", "zstd").parquet(f"{path}/payloads")
+    )
+    first = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "record")
+    firsts = stored(
+        landed.groupBy("digest").agg(F.min(first).alias("first"))
+        .select("digest", F.col("first.page_id").cast("string").alias("first_id"), F.col("first.record").alias("first_record")),
+        "first-records",
     )
     archive = Archive(path)
-    known = archive.payloads(spark).drop("payload")
     revisit = (F.col("n_bytes") >= least_bytes) & (F.col("record") != F.col("first_record"))
     (
-        landed.drop("payload").join(known, "digest")
+        landed.join(firsts, "digest")
         .select("record", "digest", _header(revisit, date).cast("binary").alias("header"))
         .write.parquet(f"{path}/headers")
     )
