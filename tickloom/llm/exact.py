@@ -30,6 +30,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
 }
+#: How many partitions a stream's state has (else as many as a shuffle).
+STATE_PARTITIONS = "spark.sql.streaming.internal.stateStore.partitions"
 
 
 def normalised(text: Column) -> Column:
@@ -54,8 +56,12 @@ def land(docs: DataFrame, id_column: str, text_column: str, digest: Callable[[Co
     )
 
 
-def first_seen(landed: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """digest, keeper (no_id, id, locator), group_size, from the stream's state."""
+def first_seen(landed: DataFrame, files_per_batch: int | None = None, rows_per_state: int = 100_000) -> DataFrame:
+    """digest, keeper (no_id, id, locator), group_size, from the stream's state.
+
+    Each state partition is a database of its own with some MB of files however little it
+    holds, so their number follows the rows.
+    """
     spark = landed.sparkSession
     updates, state = scratch_path(spark, "first-seen"), scratch_path(spark, "dedup-state")
     stream = spark.readStream.schema(landed.schema)
@@ -69,9 +75,10 @@ def first_seen(landed: DataFrame, files_per_batch: int | None = None) -> DataFra
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
 
-    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    settings = STATE_STORE | {STATE_PARTITIONS: str(landed.count() // rows_per_state + 1)}
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
-        for key, value in STATE_STORE.items():
+        for key, value in settings.items():
             spark.conf.set(key, value)
         run = (
             seen.writeStream.outputMode("update").foreachBatch(write)
@@ -96,36 +103,21 @@ def _groups(landed: DataFrame) -> DataFrame:
     return landed.groupBy("digest").agg(F.min(keeper).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
 
 
-def exact_copies(
-    docs: DataFrame,
-    id_column: str = "doc_id",
+def copy_labels(
+    landed: DataFrame,
     text_column: str = "text",
-    digest: Callable[[Column], Column] = sha256,
     files_per_batch: int | None = None,
 ) -> DataFrame:
-    """document, digest, locator, keep_id, group_size, kept: one row per input row."""
-    landed = land(docs, id_column, text_column, digest)
+    """locator, id, digest, keep_id, group_size, kept: one row per landed row."""
     groups = stored(first_seen(landed, files_per_batch), "copy-groups")
-    labelled = stored(
-        landed.select("locator", "digest").join(groups, "digest")
-        .select("locator", "digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), "group_size"),
+    labels = stored(
+        landed.select("locator", "id", "digest").join(groups, "digest").select(
+            "locator", "id", "digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), "group_size"
+        ),
         "copy-labels",
     )
-    corrected = _separate_collisions(landed, labelled.where("group_size > 1"), text_column)
-    return (
-        landed.join(labelled.drop("digest"), "locator").join(corrected, "locator", "left")
-        .select(
-            "document", "digest", "locator",
-            F.when(F.col("right_locator").isNull(), F.col("keep_id")).otherwise(F.col("right_id")).alias("keep_id"),
-            F.coalesce("right_size", "group_size").alias("group_size"),
-            (F.col("locator") == F.coalesce("right_locator", "keep_locator")).alias("kept"),
-        )
-    )
-
-
-def _separate_collisions(landed: DataFrame, hits: DataFrame, text_column: str) -> DataFrame:
-    """Right labels for the members of digests whose texts are not all the same bytes."""
-    content = landed.select("locator", "id", normalised(F.col(f"document.{text_column}")).alias("content"))
+    content = landed.select("locator", normalised(F.col(f"document.{text_column}")).alias("content"))
+    hits = labels.where("group_size > 1")
     members = hits.select("locator", "digest", "keep_locator").join(content, "locator")
     keepers = (
         hits.where("locator = keep_locator").select("locator").join(content, "locator")
@@ -134,9 +126,35 @@ def _separate_collisions(landed: DataFrame, hits: DataFrame, text_column: str) -
     collided = stored(
         members.join(keepers, "keep_locator").where("content != kept_content").select("digest").distinct(), "collisions"
     )
-    apart = members.join(collided, "digest")
+    if not collided.isEmpty():
+        labels = _separate(labels, collided, content)
+    return labels.select("locator", "id", "digest", "keep_id", "group_size", (F.col("locator") == F.col("keep_locator")).alias("kept"))
+
+
+def _separate(labels: DataFrame, collided: DataFrame, content: DataFrame) -> DataFrame:
+    """Group the rows of these digests by their texts."""
+    apart = labels.join(collided, "digest").select("locator", "id", "digest").join(content, "locator")
     keeper = F.struct(F.col("id").isNull().alias("no_id"), "id", "locator")
-    right = apart.groupBy("digest", "content").agg(F.min(keeper).alias("right"), F.count(F.lit(1)).alias("right_size"))
-    return apart.join(right, ["digest", "content"]).select(
-        "locator", F.col("right.id").alias("right_id"), F.col("right.locator").alias("right_locator"), "right_size"
+    groups = apart.groupBy("digest", "content").agg(F.min(keeper).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    right = apart.join(groups, ["digest", "content"]).select(
+        "locator", "id", "digest", F.col("keeper.id").alias("keep_id"), F.col("keeper.locator").alias("keep_locator"), "group_size"
     )
+    return labels.join(collided, "digest", "left_anti").unionByName(right)
+
+
+def exact_copies(
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    digest: Callable[[Column], Column] = sha256,
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """locator, id, digest, keep_id, group_size, kept: one row per input row."""
+    return copy_labels(land(docs, id_column, text_column, digest), text_column, files_per_batch)
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows that stay, with the columns of ``docs``."""
+    landed = land(docs, id_column, text_column, sha256)
+    kept = copy_labels(landed, text_column).where("kept").select("locator")
+    return landed.join(kept, "locator", "left_semi").select("document.*")

@@ -42,5 +42,5 @@ FROM t WINDOW same AS (PARTITION BY content)""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
-        "document.doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
