@@ -236,6 +236,23 @@ def identify(
     )
 
 
+def with_language(
+    docs: DataFrame, model: LanguageModel, switch_price: float = 8.0, text_column: str = "text"
+) -> DataFrame:
+    """The rows for which a language is found, with all their columns; the others are rejected."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordRows(shared.value)
+        for batch in batches:
+            if len(known) > _KEPT_WORDS:
+                known = _WordRows(shared.value)
+            keep = [a[0] != UNKNOWN for t in _pieces(batch.column(at)) for a in _label(t, known, switch_price)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _pieces(column: pa.Array, most_chars: int = 32_000_000) -> Iterator[list[str]]:
     """Texts in order, in lists of a bounded size (or of one text)."""
     piece, size = [], 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.checks.registry import query
-from tickloom.llm import archive, chat, exact, language, licenses, pieces, simhash
+from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, simhash
 from tickloom.llm.shared import crc32_of_id, table
 
 
@@ -77,3 +77,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.col("decoded") == text).alias("round_trip"),
     )
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")

@@ -167,5 +167,20 @@ def near_copies(
     return rows.join(names, "fingerprint").select("id", "fingerprint", "component_id")
 
 
+def one_of_each(
+    docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """Of each component the row with the smallest id, with the columns of ``docs``."""
+    landed = stored(docs.select(F.struct("*").alias("document"), F.monotonically_increasing_id().alias("locator")), "documents")
+    named = landed.select("locator", F.col(f"document.{id_column}").alias("id"), F.col(f"document.{text_column}").alias("text"))
+    found = near_copies(named, shingle_words, max_bits, "locator", "text").select(F.col("id").alias("locator"), "component_id")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "locator")
+    kept = (
+        named.select("locator", "id").join(found, "locator").groupBy("component_id").agg(F.min(first).alias("first"))
+        .select(F.col("first.locator").alias("locator"))
+    )
+    return landed.join(kept, "locator", "left_semi").select("document.*")
+
+
 def hexadecimal(fingerprint_column: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint_column), 16, "0"))
