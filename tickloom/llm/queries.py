@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.checks.registry import query
-from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, simhash
+from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, scoring, simhash
 from tickloom.llm.shared import crc32_of_id, table
 
 
@@ -37,6 +37,12 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.score_texts(table(spark, sf_dir, "documents"), crc32_of_id("doc_id") % 10 != 0)
+    return found.withColumnRenamed("id", "doc_id").withColumn("held_out", ~F.col("training")).drop("training")
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
