@@ -53,7 +53,7 @@ def split_item(text: str) -> tuple[list[str], list[str]]:
         cut = stops[-1] if stops else len(body)
     else:
         cut += 1
-    return WORD.findall(body[:cut].lower()), WORD.findall(body[cut:].lower())
+    return WORD.findall(body[:cut].casefold()), WORD.findall(body[cut:].casefold())
 
 
 def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
@@ -154,7 +154,7 @@ class PassageSearch:
     def __call__(self, texts: list[str]) -> list[tuple[int, int, float, float, float, int]]:
         """(text, item, score, question overlap, answer overlap, first word of the best passage), best passage of each."""
         index = self.index
-        found_words = [WORD.findall(t.lower()) for t in texts]
+        found_words = [WORD.findall(t.casefold()) for t in texts]
         counts = np.array([max(1, -(-max(0, len(w) - index.longest) // self.stride)) for w in found_words], np.int64)
         first = np.cumsum(counts) - counts
         keys = []

@@ -87,7 +87,6 @@ class LanguageModel:
         for language, word, n in counts:
             by_word.setdefault(word, {})[language] = n
         languages = sorted({language for found in by_word.values() for language in found})
-        number = {language: i for i, language in enumerate(languages)}
         words = {word: i for i, word in enumerate(by_word)}
         table = np.zeros((len(words), len(languages)))
         grams: dict[str, int] = {}
@@ -101,7 +100,8 @@ class LanguageModel:
             script = script_of(word)
             letters[script] = letters.get(script, 0) + len(word) * np.array(row, float)
         gram_table = np.zeros((len(grams), len(languages)))
-        np.add.at(gram_table, places, np.array(weights, float).reshape(-1, len(languages)))
+        if weights:
+            np.add.at(gram_table, places, np.array(weights, float))
         total = sum(letters.values()) if letters else np.zeros(len(languages))
         scripts = {s: found >= SCRIPT_SHARE * np.maximum(total, 1) for s, found in letters.items()}
         return LanguageModel(languages, words, _log(table), grams, _log(gram_table), scripts)
@@ -122,7 +122,9 @@ class LanguageModel:
 
 def _log(table: np.ndarray) -> np.ndarray:
     """Per row, the log share of each column after scaling the columns to equal sums."""
-    smoothed = (table + 0.5) / (table.sum(axis=0) + 0.5 * max(len(table), 1))
+    if not table.size:
+        return table
+    smoothed = (table + 0.5) / (table.sum(axis=0) + 0.5 * len(table))
     return _shares(np.log(smoothed))
 
 
@@ -239,7 +241,10 @@ def identify(
 def with_language(
     docs: DataFrame, model: LanguageModel, switch_price: float = 8.0, text_column: str = "text"
 ) -> DataFrame:
-    """The rows for which a language is found, with all their columns; the others are rejected."""
+    """The rows for which a language is found, with all their columns; the others are rejected.
+
+    Where the model has learned nothing, only texts without a letter are.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +252,10 @@ def with_language(
         for batch in batches:
             if len(known) > _KEPT_WORDS:
                 known = _WordRows(shared.value)
-            keep = [a[0] != UNKNOWN for t in _pieces(batch.column(at)) for a in _label(t, known, switch_price)]
+            if known.model.languages:
+                keep = [a[0] != UNKNOWN for t in _pieces(batch.column(at)) for a in _label(t, known, switch_price)]
+            else:
+                keep = [bool(WORD.search(t.as_py() or "")) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
