@@ -32,18 +32,27 @@ def seconds(*names: str) -> list[F.Column]:
 
 
 @query("tick_gate", f"""WITH {Q.TICKS}, s AS (SELECT t, lag(t) OVER (ORDER BY tick_id) AS before FROM ticks)
-SELECT '' AS missing_columns, count(*) AS row_count, count(*) FILTER (t < before) AS steps_back,
+SELECT '' AS missing_columns, count(*) AS row_count, CAST(0 AS BIGINT) AS null_keys, count(*) FILTER (t < before) AS steps_back,
   count(*) FILTER (t < before) = 0 AS in_order, count(*) >= 100 AS valid FROM s""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.check_ticks(fx.ticks(spark, sf))
 
 
-@query("tick_gate_missing_column", """SELECT 'ask' AS missing_columns, count(*) AS row_count, CAST(0 AS BIGINT) AS steps_back,
+@query("tick_gate_missing_column", """SELECT 'ask' AS missing_columns, count(*) AS row_count, CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS steps_back,
   true AS in_order, false AS valid FROM events""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.check_ticks(fx.ticks(spark, sf).drop("ask"))
 
 
+@query("tick_gate_null_keys", f"""WITH {Q.HOLED}, s AS (SELECT t, lag(t) OVER (ORDER BY tick_id) AS before FROM holed
+  WHERE tick_id IS NOT NULL AND t IS NOT NULL)
+SELECT '' AS missing_columns, (SELECT count(*) FROM holed) AS row_count,
+  (SELECT count(*) FROM holed WHERE tick_id IS NULL OR symbol IS NULL OR t IS NULL) AS null_keys,
+  count(*) FILTER (t < before) AS steps_back, count(*) FILTER (t < before) = 0 AS in_order, false AS valid FROM s""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return V.check_ticks(fx.ticks_with_null_keys(spark, sf))
+
+
 @query("coverage", f"""WITH {Q.BARS}, {_SYMBOLS} SELECT s.symbol,
   (SELECT count(*) FROM ticks k WHERE k.symbol = s.symbol) AS ticks,
   (SELECT count(*) FROM bars b WHERE b.symbol = s.symbol) AS bars FROM symbols s""")
@@ -103,46 +112,64 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.tick_rate(fx.ticks(spark, sf)).select(*seconds("second"), "ticks_per_second")
 
 
-@query("live_report", f"""WITH {Q.BARS}, u AS (SELECT symbol, t, ask - bid AS spread, 1 AS k, 0 AS b FROM ticks
-  UNION ALL SELECT symbol, NULL, NULL, 0, 1 FROM bars)
-SELECT symbol, CAST(sum(k) AS BIGINT) AS total_ticks, max(t) AS last_tick_time, round(avg(spread), 6) AS avg_spread,
-  CAST(sum(b) AS BIGINT) AS bars_completed FROM u GROUP BY ROLLUP (symbol)""")
+@query("live_report", f"""WITH {Q.BARS}, u AS (
+  SELECT CASE WHEN tick_id % 10 <> 0 THEN symbol END AS symbol, t, ask - bid AS spread, 1 AS k, 0 AS b, 0 AS e FROM ticks
+  UNION ALL SELECT symbol, NULL, NULL, 0, 1, 0 FROM bars UNION ALL SELECT symbol, NULL, NULL, 0, 0, 1 FROM ticks WHERE tick_id % 13 = 0)
+SELECT symbol, grouping(symbol) = 1 AS is_total, CAST(sum(k) AS BIGINT) AS total_ticks, max(t) AS last_tick_time,
+  round(sum(k)::DOUBLE / nullif(max(t) - min(t), 0), 6) AS ticks_per_second, round(avg(spread), 6) AS avg_spread,
+  CAST(sum(b) AS BIGINT) AS bars_completed, CAST(sum(e) AS BIGINT) AS errors FROM u GROUP BY ROLLUP (symbol)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    out = V.live_report(fx.ticks(spark, sf), fx.bars(spark, sf))
-    return out.select("symbol", "total_ticks", *seconds("last_tick_time"), *rounded(["avg_spread"]), "bars_completed")
+    """Some rows are turned away, and some ticks have no symbol."""
+    ticks = fx.ticks(spark, sf).withColumn("symbol", F.when(F.col("tick_id") % 10 != 0, F.col("symbol")))
+    out = V.live_report(ticks, fx.bars(spark, sf), fx.ticks(spark, sf).where("tick_id % 13 = 0"))
+    return out.select(
+        "symbol", "is_total", "total_ticks", *seconds("last_tick_time"), *rounded(["ticks_per_second", "avg_spread"]), "bars_completed", "errors")
 
 
-_PROFILED = [f"{f}_{w}s" for w in (10, 60) for f in ("momentum", "volatility", "buy_pressure", "tick_velocity")]
-_FEATURES = ["momentum", "volatility", "buy_pressure", "tick_velocity"]
+_PROFILED = R.feature_columns()
+_DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _PROFILED)
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rolling_features(fx.ticks(spark, sf), _FEATURES, [10, 60])
+    return R.rolling_features(fx.ticks(spark, sf))
 
 
-@query("feature_profile", f"""WITH {Q.features_ctes(_FEATURES, [10, 60])}, long AS (
-  {' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM features" for c in _PROFILED)})
-SELECT feature, count(*) - count(value) AS missing_values, count(*) FILTER (isinf(value)) AS infinite_values,
+@query("feature_profile", f"""WITH {Q.features_ctes()}, wide AS (SELECT {_DOUBLES} FROM features),
+long AS (SELECT * FROM (UNPIVOT INCLUDE NULLS wide ON {', '.join(_PROFILED)} INTO NAME feature VALUE value))
+SELECT feature, count(*) AS total_rows, count(*) - count(value) AS missing_values, count(*) FILTER (isinf(value)) AS infinite_values,
   round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
 FROM long GROUP BY feature""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = V.profile_features(_features(spark, sf), _PROFILED)
-    return out.select("feature", "missing_values", "infinite_values", *rounded(["min", "max", "mean", "std"]))
+    return out.select("feature", "total_rows", "missing_values", "infinite_values", *rounded(["min", "max", "mean", "std"]))
+
 
+def _corr_sql(a: str, b: str) -> str:
+    """Correlation over the rows with both values; null where one of them is constant there."""
+    both = f"FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
+    moving = f"max({a}) {both} > min({a}) {both} AND max({b}) {both} > min({b}) {both}"
+    return f"CASE WHEN {moving} THEN {'1.0::DOUBLE' if a == b else f'round(corr({a}, {b}), 5)'} END"
 
-@query("feature_correlation", f"""WITH {Q.features_ctes(_FEATURES, [10, 60])}
-{' UNION ALL '.join(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round({f'CASE WHEN var_pop({a}) > 0 THEN 1.0::DOUBLE END' if a == b else f'corr({a}, {b})'}, 6) AS corr FROM features" for a in _PROFILED for b in _PROFILED)}""")
+
+# One pass over the table: a list of all pairs, taken apart afterwards.
+_PAIRS = [(a, b) for i, a in enumerate(_PROFILED) for b in _PROFILED[i:]]
+
+
+@query("feature_correlation", f"""WITH {Q.features_ctes()}, wide AS (SELECT {_DOUBLES} FROM features),
+listed AS (SELECT unnest([{', '.join(f"{{'a': '{a}', 'b': '{b}', 'corr': {_corr_sql(a, b)}}}" for a, b in _PAIRS)}]) AS p FROM wide)
+SELECT p.a AS col_a, p.b AS col_b, p.corr AS corr FROM listed UNION ALL SELECT p.b, p.a, p.corr FROM listed WHERE p.a <> p.b""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return V.correlate(_features(spark, sf), _PROFILED).select("col_a", "col_b", *rounded(["corr"]))
+    return V.correlate(_features(spark, sf), _PROFILED).select("col_a", "col_b", F.round("corr", 5).alias("corr"))
 
 
 # --- messages -----------------------------------------------------------------------------
 
 
-@query("message_stats", f"""WITH {Q.MESSAGES} SELECT CAST(type AS INTEGER) AS type, count(*) AS messages,
-  count(*) FILTER (type = 99) AS errors FROM messages GROUP BY ROLLUP (type)""")
+@query("message_stats", f"""WITH {Q.MESSAGES} SELECT CAST(type AS INTEGER) AS type, grouping(type) = 1 AS is_total, count(*) AS messages,
+  count(*) FILTER (type IN (1, 2, 5, 6)) AS sent, count(*) FILTER (type IS NULL OR type NOT IN (1, 2, 5, 6)) AS received,
+  count(*) FILTER (type = 99) AS errors FROM (SELECT CASE WHEN msg_id % 10 <> 0 THEN type END AS type FROM messages) GROUP BY ROLLUP (type)""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return M.message_stats(fx.messages(spark, sf))
+    return M.message_stats(fx.messages(spark, sf).withColumn("type", F.when(F.col("msg_id") % 10 != 0, F.col("type"))))
 
 
 @query("route_messages", f"""WITH {Q.MESSAGES} SELECT msg_id, CASE type WHEN 1 THEN 'tick_data' WHEN 2 THEN 'signal_request'
@@ -151,10 +178,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return fx.messages(spark, sf).select("msg_id", M.type_label(F.col("type")).alias("kind"))
 
 
-def _lines(spark: SparkSession, sf: str, code: int) -> DataFrame:
-    return M.encode(message_fields(fx.messages(spark, sf)).filter(F.col("type") == code), code)
-
-
 def message_fields(m: DataFrame) -> DataFrame:
     """Every field a message kind can carry, from the message rows."""
     return m.select(
@@ -165,7 +188,7 @@ def message_fields(m: DataFrame) -> DataFrame:
         (F.col("direction") + 1).alias("operation"), F.col("value").alias("price"),
         (F.col("value") - 1).alias("sl"), (F.col("value") + 2).alias("tp"),
         F.concat(F.lit('say "'), F.col("symbol"), F.lit('"\\\n\t')).alias("comment"), F.col("msg_id").alias("magic"),
-        F.lit("HEARTBEAT").alias("status"), F.lit("System alive").alias("details"),
+        F.lit("up").alias("status"), F.lit("all well").alias("details"),
         F.lit("tickloom").alias("expert_id"), F.lit("mode").alias("key"), F.col("symbol").alias("value"),
     )
 
@@ -176,7 +199,7 @@ _LINE_SQL = {
     1: "'\"symbol\":\"' || symbol || '\",\"time\":' || us // 1000000 || ',\"bid\":' || printf('%.8f', value + 1000) || ',\"ask\":' || printf('%.8f', value + 1001) || ',\"last\":' || printf('%.8f', value + 1000.5) || ',\"volume\":' || msg_id || ',\"spread\":1.00000000,\"direction\":' || direction",
     2: "'\"symbol\":\"' || symbol || '\",\"request_id\":' || msg_id",
     4: "'\"symbol\":\"' || symbol || '\",\"operation\":' || direction + 1 || ',\"volume\":' || msg_id || ',\"price\":' || printf('%.8f', value) || ',\"sl\":' || printf('%.8f', value - 1) || ',\"tp\":' || printf('%.8f', value + 2) || ',\"comment\":\"say \\\"' || symbol || '\\\"\\\\\\n\\t\",\"magic\":' || msg_id",
-    6: "'\"status\":\"HEARTBEAT\",\"details\":\"System alive\",\"expert_id\":\"tickloom\"'",
+    6: "'\"status\":\"up\",\"details\":\"all well\",\"expert_id\":\"tickloom\"'",
     7: "'\"key\":\"mode\",\"value\":\"' || symbol || '\"'",
 }
 _NAMES = {1: "encode_ticks", 2: "encode_signal_requests", 4: "encode_orders", 6: "encode_status", 7: "encode_config"}

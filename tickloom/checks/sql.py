@@ -27,6 +27,13 @@ ticks AS (
          last, volume, time_msc, flags, CAST(volume AS DOUBLE) AS volume_real
   FROM raw_ticks)"""
 
+# Every tenth row lacks one of its keys.
+HOLED = TICKS + """,
+holed AS (
+  SELECT CASE WHEN tick_id % 30 <> 20 THEN tick_id END AS tick_id, CASE WHEN tick_id % 30 <> 0 THEN symbol END AS symbol,
+         CASE WHEN tick_id % 30 <> 10 THEN t END AS t, bid, ask, last, volume, tick_id AS row_id
+  FROM ticks)"""
+
 BARS = TICKS + """,
 bars AS (
   SELECT symbol, t // 60 * 60 AS t, 'M1' AS timeframe,

@@ -410,6 +410,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tick_id", F.unix_seconds("bar_time").alias("bar_t"), *rounded(["range"]))
 
 
+@query("asof_null_keys", f"""WITH {Q.BARS}, {Q.HOLED[len(Q.TICKS) + 2:]} SELECT row_id, k.symbol, b.t AS bar_t, round(b.high - b.low, 6) AS range
+FROM holed k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.t >= b.t""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    bars = S.with_bar_geometry(fx.bars(spark, sf))
+    ticks = fx.ticks_with_null_keys(spark, sf).select("tick_id", "row_id", "symbol", "time")
+    out = J.asof_bars(ticks, bars, ["range"])
+    return out.select("row_id", "symbol", F.unix_seconds("bar_time").alias("bar_t"), *rounded(["range"]))
+
+
+@query("direction_null_keys", f"""WITH {Q.HOLED}, p AS (SELECT row_id, last, symbol IS NOT NULL AND t IS NOT NULL AS placed,
+  lag(last) OVER (PARTITION BY symbol ORDER BY t, tick_id NULLS FIRST) AS before FROM holed WHERE symbol IS NOT NULL AND t IS NOT NULL)
+SELECT row_id, coalesce(CAST(sign(last - before) AS INTEGER), 0) AS direction FROM p
+UNION ALL SELECT row_id, 0 FROM holed WHERE symbol IS NULL OR t IS NULL""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ticks = fx.ticks_with_null_keys(spark, sf)
+    return K.with_direction(ticks.withColumn("tick_id", F.coalesce("tick_id", F.lit(-1))), axis=by_time()).select("row_id", "direction")
+
+
 @query("asof_closed_bars", f"""WITH {Q.BARS}, {Q.ATR}, {Q.context_cte(60)} SELECT tick_id, bar_t,
   round(ohlc_range, 6) AS range FROM context""")
 def _(spark: SparkSession, sf: str) -> DataFrame:

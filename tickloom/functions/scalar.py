@@ -53,8 +53,8 @@ def spread(bid: Column, ask: Column) -> Column:
 
 
 def sign(change: Column) -> Column:
-    """1, -1 or 0; 0 where there is nothing to compare with."""
-    return F.coalesce(F.signum(change), F.lit(0.0)).cast("int")
+    """1, -1 or 0; 0 where there is nothing (or no number) to compare with."""
+    return F.coalesce(F.signum(nan_to_null(change)), F.lit(0.0)).cast("int")
 
 
 def directed_volume(volume: Column, direction: Column, side: int) -> Column:
@@ -75,6 +75,11 @@ def finite_or_zero(value: Column) -> Column:
     return F.when(F.abs(value) == F.lit(float("inf")), F.lit(0.0)).otherwise(value)
 
 
+def finite_or_null(value: Column) -> Column:
+    """What is no finite number counts as missing."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
+
+
 def nan_to_null(value: Column) -> Column:
     return F.when(~F.isnan(value), value)
 

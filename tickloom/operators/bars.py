@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as S
+from tickloom.operators.ordered import SLICE_SECONDS, time_slice
 
 ATR_PERIODS = (14, 20, 50)
 
@@ -84,14 +85,28 @@ def with_atr(bars: DataFrame, periods: Sequence[int] = ATR_PERIODS) -> DataFrame
     return out.withColumns(columns)
 
 
-def latest(df: DataFrame, n: int = 100, order: Sequence[str] = ("time",)) -> DataFrame:
+def latest(
+    df: DataFrame, n: int = 100, order: Sequence[str] = ("time",), slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
     """The last ``n`` rows per symbol, with ``rank`` 1 for the newest.
 
-    Spark limits each group before the shuffle, so at most ``n`` rows per symbol
-    and map task move.
+    Rows are counted per (symbol, slice). Only the newest slices that reach ``n`` rows together
+    are read on; a row's rank is its rank in its slice plus the rows of the newer ones, so no
+    symbol's rows meet in one task. Rows without time come last, as a slice of their own.
     """
-    newest_first = Window.partitionBy("symbol").orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("rank", F.row_number().over(newest_first)).filter(F.col("rank") <= n)
+    first = order[0]
+    # Nulls below all slices of the clock.
+    cut = df.withColumn("_slice", F.coalesce(time_slice(slice_seconds, first), F.lit(-(1 << 62))))
+    newer = Window.partitionBy("symbol").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = (
+        cut.groupBy("symbol", "_slice").agg(F.count(F.lit(1)).alias("_rows"))
+        .select(F.col("symbol").alias("_symbol"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_rows").over(newer), F.lit(0)).alias("_newer"))
+        .filter(F.col("_newer") < n)
+    )
+    same = F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("_slice") == F.col("_of"))
+    newest_first = Window.partitionBy("symbol", "_slice").orderBy(*[F.col(c).desc() for c in order])
+    ranked = cut.join(needed, same).withColumn("rank", F.row_number().over(newest_first) + F.col("_newer").cast("int"))
+    return ranked.filter(F.col("rank") <= n).drop("_slice", "_symbol", "_of", "_newer")
 
 
 def unique_bars(bars: DataFrame, file_column: str = "file_no") -> DataFrame:
@@ -99,6 +114,5 @@ def unique_bars(bars: DataFrame, file_column: str = "file_no") -> DataFrame:
     rest = [c for c in bars.columns if c not in ("symbol", "time")]
     return (
         bars.groupBy("symbol", "time")
-        .agg(F.max_by(F.struct(*rest), F.col(file_column)).alias("row"))
-        .select("symbol", "time", "row.*")
+        .agg(*[F.max_by(c, file_column).alias(c) for c in rest])
     )

@@ -25,7 +25,8 @@ def asof_bars(
 ) -> DataFrame:
     """Give each tick ``columns`` of its symbol's latest bar with time <= tick time.
 
-    A bar carries its opening time, so a tick sees the minute it lies in;
+    A left join: a tick without symbol or time stays and sees no bar. A bar carries its opening
+    time, so a tick sees the minute it lies in;
     ``closed_bars_only`` lets a bar be seen only after its end. Union and running
     last value inside (symbol, slice); a slice starts from the last bar before it.
     """
@@ -34,7 +35,7 @@ def asof_bars(
         length = F.create_map(*[F.lit(x) for item in S.TIMEFRAME_SECONDS.items() for x in item])
         visible = F.timestamp_micros(F.unix_micros("time") + length[F.col("timeframe")] * 1_000_000)
     packed = F.struct(F.col("time").alias("bar_time"), *columns)
-    right = bars.select("symbol", visible.alias("time"), F.lit(0).alias("_side"), packed.alias("_bar"))
+    right = bars.where("symbol IS NOT NULL AND time IS NOT NULL").select("symbol", visible.alias("time"), F.lit(0).alias("_side"), packed.alias("_bar"))
     left = ticks.withColumn("_side", F.lit(1))
     cut = time_slice(slice_seconds)
     both = left.unionByName(right, allowMissingColumns=True).withColumn(SLICE, cut)
@@ -59,12 +60,14 @@ BAR_CONTEXT = (
 )
 
 
-def with_bar_context(ticks: DataFrame, bars: DataFrame, closed_bars_only: bool = False) -> DataFrame:
+def with_bar_context(
+    ticks: DataFrame, bars: DataFrame, closed_bars_only: bool = False, slice_seconds: int = SLICE_SECONDS
+) -> DataFrame:
     """Range, body, shadows, price position and mean true range of each tick's bar."""
     dressed = S.with_bar_geometry(with_atr(bars))
     columns = ["high", "low", "range", "body", "upper_shadow", "lower_shadow", *[f"atr_{p}" for p in ATR_PERIODS]]
     own = [c for c in ticks.columns]
-    out = asof_bars(ticks, dressed, columns, closed_bars_only)
+    out = asof_bars(ticks, dressed, columns, closed_bars_only, slice_seconds)
     reach = F.when(F.col("range") == 0, F.lit(1.0)).otherwise(F.col("range"))
     return out.withColumn(
         "price_position_in_range", (F.col("last") - F.col("low")) / reach

@@ -26,6 +26,7 @@ FIELDS = {
 }
 DOUBLE_FORMAT = "%.8f"
 ERROR_TYPE = 99
+SENT_TYPES = (1, 2, 5, 6)
 HEARTBEAT_LIMIT_SECONDS = 60
 
 
@@ -33,20 +34,24 @@ def _json_field(df: DataFrame, name: str) -> Column:
     """``"name":value``; doubles with eight decimals, strings escaped by ``to_json``."""
     kind = dict(df.dtypes)[name]
     if kind == "double":
-        text = F.format_string(DOUBLE_FORMAT, F.col(name))
+        # JSON has no word for what is not a finite number.
+        finite = F.abs(F.col(name)) < F.lit(float("inf"))
+        text = F.when(finite, F.format_string(DOUBLE_FORMAT, F.col(name)))
     elif kind == "string":
         text = F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     else:
         text = F.col(name).cast("string")
-    return F.concat(F.lit(f'"{name}":'), text)
+    return F.concat(F.lit(f'"{name}":'), F.coalesce(text, F.lit("null")))
 
 
 def encode(df: DataFrame, type_code: int) -> DataFrame:
     """Rows to JSON lines of one message kind in the column ``value``, other columns kept.
 
-    ``sent_at`` gives the message timestamp.
+    ``sent_at`` gives the message timestamp. Nulls and doubles that are not finite are
+    written as ``null``; the type is always there.
     """
-    head = F.concat(F.lit(f'"type":{type_code},"timestamp":"'), S.stamp(F.col("sent_at")), F.lit('"'))
+    stamp = F.coalesce(F.concat(F.lit('"'), S.stamp(F.col("sent_at")), F.lit('"')), F.lit("null"))
+    head = F.concat(F.lit(f'"type":{type_code},"timestamp":'), stamp)
     parts = [head, *[_json_field(df, n) for n in FIELDS[type_code]]]
     return df.withColumn("value", F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")))
 
@@ -77,9 +82,16 @@ def route(messages: DataFrame) -> dict[str, DataFrame]:
 
 
 def message_stats(messages: DataFrame) -> DataFrame:
-    """Messages and errors per type, with totals in the row of null type."""
-    return messages.rollup("type").agg(
-        F.count(F.lit(1)).alias("messages"), F.count_if(F.col("type") == ERROR_TYPE).alias("errors"))
+    """Messages, sent and received ones and errors per type, and in total (``is_total``).
+
+    What the library's side of the line sends (``SENT_TYPES``) counts as sent.
+    """
+    sent = F.coalesce(F.col("type").isin(*SENT_TYPES), F.lit(False))
+    marked = messages.withColumns({"_sent": sent, "_error": F.coalesce(F.col("type") == ERROR_TYPE, F.lit(False))})
+    return marked.rollup("type").agg(
+        (F.grouping_id() == 1).alias("is_total"), F.count(F.lit(1)).alias("messages"), F.count_if("_sent").alias("sent"),
+        F.count_if(~F.col("_sent")).alias("received"), F.count_if("_error").alias("errors"),
+    )
 
 
 def heartbeat_gaps(

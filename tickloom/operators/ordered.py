@@ -10,10 +10,8 @@ slice, and carry a small per-slice summary forward:
 * the join that brings a summary back uses the same (keys, slice) hashing, so
   the rows do not move again.
 
-* both sides come from the same rows, so each row finds its summary; with an inner
-  join both sides also get the same filters, and Spark can reuse one shuffle for both.
-
-A row without key or time has no place in a history and is left out.
+* the join is a left join, so no row is lost. A row without key or time has no place in a
+  history: it stays, has no row before it and no running values, and is before no other row.
 
 Time slices follow the clock. Arrival slices hold ``block`` consecutive ids and
 are bounded whatever the clock does.
@@ -23,6 +21,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,11 @@ class Axis:
     def over_slices(self):
         return Window.partitionBy(*(self.keys or (F.lit(0),))).orderBy(SLICE)
 
+    @property
+    def placed(self) -> Column:
+        """Whether a row has a place in a history."""
+        return reduce(and_, [F.col(c).isNotNull() for c in self.slice_keys])
+
     @property
     def slice_keys(self) -> list[str]:
         return [*self.keys, SLICE]
@@ -102,10 +107,10 @@ def previous(df: DataFrame, values: Mapping[str, Column], axis: Axis) -> DataFra
         "_first": F.row_number().over(axis.within) == 1,
         **{f"_l{i}": F.lag(values[n]).over(axis.within) for i, n in enumerate(names)},
     })
-    joined = local.join(carry, axis.slice_keys)
+    joined = local.join(carry, axis.slice_keys, "left")
     helpers = [f"_{kind}{i}" for kind in "lc" for i in range(len(names))]
     return joined.withColumns({
-        n: F.when(F.col("_first"), F.col(f"_c{i}")).otherwise(F.col(f"_l{i}"))
+        n: F.when(axis.placed, F.when(F.col("_first"), F.col(f"_c{i}")).otherwise(F.col(f"_l{i}")))
         for i, n in enumerate(names)
     }).drop(*helpers, "_first", SLICE)
 
@@ -142,7 +147,7 @@ def last_known_cut(
         f"rows between unbounded preceding and 1 preceding) as _c{i}"
         for i in range(len(names))
     ])
-    return local.join(carry, axis.slice_keys).selectExpr(
+    return local.join(carry, axis.slice_keys, "left").selectExpr(
         *kept, *[f"coalesce(_l{i}, _c{i}) as {n}" for i, n in enumerate(names)])
 
 
@@ -174,14 +179,14 @@ def running(
         **{f"_l_{n}": F.sum(v).over(frame) for n, v in sums.items()},
         **{f"_l_{n}": F.max(v).over(frame) for n, v in maxima.items()},
     })
-    joined = local.join(carry, axis.slice_keys)
+    joined = local.join(carry, axis.slice_keys, "left")
     out = {
         n: F.when(
-            F.col(f"_l_{n}").isNotNull() | F.col(f"_c_{n}").isNotNull(),
+            axis.placed & (F.col(f"_l_{n}").isNotNull() | F.col(f"_c_{n}").isNotNull()),
             F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0)),
         )
         for n in sums
     }
-    out.update({n: F.greatest(f"_l_{n}", f"_c_{n}") for n in maxima})
+    out.update({n: F.when(axis.placed, F.greatest(f"_l_{n}", f"_c_{n}")) for n in maxima})
     helpers = [f"_{k}_{n}" for k in "lc" for n in (*sums, *maxima)]
     return joined.withColumns(out).drop(*helpers, SLICE)

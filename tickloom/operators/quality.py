@@ -2,41 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as S
 from tickloom.operators.ordered import by_arrival, previous
+from tickloom.session import ship_module
+
+ship_module(__name__)
 
 # Columns a tick table must have and rows it needs.
 REQUIRED_TICK_COLUMNS = ("time", "bid", "ask", "symbol")
 MIN_TICK_ROWS = 100
-PAIRWISE_COLUMNS = 20
 
 
 def check_ticks(ticks: DataFrame) -> DataFrame:
-    """One row: missing columns, row count, steps back in time by arrival, verdict.
+    """One row: missing columns, row count, rows without a key, steps back in time by arrival, verdict.
 
     Order is compared in blocks of arrival ids; only a block's last time is carried on.
-    Going back in time is a warning and does not make the table invalid.
+    Going back in time is a warning and does not make the table invalid; a null symbol,
+    time or id does, as such a row has no place on the tape.
     """
     missing = [c for c in REQUIRED_TICK_COLUMNS if c not in ticks.columns]
+    keys = [c for c in ("symbol", "time", "tick_id") if c in ticks.columns]
+    null_keys = F.count_if(reduce(or_, [F.col(c).isNull() for c in keys])) if keys else F.lit(0).cast("long")
+    counted = ticks.agg(F.count(F.lit(1)).alias("row_count"), null_keys.alias("null_keys"))
     if missing:
-        counted = ticks.agg(F.count(F.lit(1)).alias("row_count"), F.lit(0).cast("long").alias("steps_back"))
+        stepped = counted.withColumn("steps_back", F.lit(0).cast("long"))
     else:
-        stepped = previous(ticks.select("tick_id", "time"), {"before": F.col("time")}, by_arrival(keys=()))
-        counted = stepped.agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_if(F.col("time") < F.col("before")).alias("steps_back"),
-        )
-    valid = (F.col("row_count") >= MIN_TICK_ROWS) & F.lit(not missing)
-    return counted.select(
-        F.lit(",".join(missing)).alias("missing_columns"), "row_count", "steps_back",
+        placed = ticks.select("tick_id", "time").where("tick_id IS NOT NULL AND time IS NOT NULL")
+        before = previous(placed, {"before": F.col("time")}, by_arrival(keys=()))
+        # Two tables of one row.
+        stepped = counted.join(before.agg(F.count_if(F.col("time") < F.col("before")).alias("steps_back")))
+    valid = (F.col("row_count") >= MIN_TICK_ROWS) & (F.col("null_keys") == 0) & F.lit(not missing)
+    return stepped.select(
+        F.lit(",".join(missing)).alias("missing_columns"), "row_count", "null_keys", "steps_back",
         (F.col("steps_back") == 0).alias("in_order"), valid.alias("valid"),
     )
 
@@ -108,24 +114,32 @@ def collection_report(validated: DataFrame) -> DataFrame:
     )
 
 
-def live_report(ticks: DataFrame, bars: DataFrame) -> DataFrame:
-    """Per symbol and, with null symbol, in total."""
-    rows = (
-        ticks.select("symbol", "time", S.spread(F.col("bid"), F.col("ask")).alias("spread"),
-                     F.lit(1).alias("t"), F.lit(0).alias("b"))
-        .unionByName(bars.select("symbol", F.lit(0).alias("t"), F.lit(1).alias("b")), allowMissingColumns=True)
-    )
+def live_report(ticks: DataFrame, bars: DataFrame, bad_rows: DataFrame | None = None) -> DataFrame:
+    """Per symbol and in total (``is_total``): ticks, rate over the time seen, spread, bars, rows turned away."""
+    def part(df: DataFrame, **values) -> DataFrame:
+        counts = {"t": 0, "b": 0, "e": 0} | values
+        return df.select(
+            "symbol", *[F.lit(v).alias(k) for k, v in counts.items()],
+            *([F.col("time"), S.spread(F.col("bid"), F.col("ask")).alias("spread")] if counts["t"] else []),
+        )
+
+    rows = part(ticks, t=1).unionByName(part(bars, b=1), allowMissingColumns=True)
+    if bad_rows is not None:
+        rows = rows.unionByName(part(bad_rows, e=1), allowMissingColumns=True)
+    span = F.unix_micros(F.max("time")) - F.unix_micros(F.min("time"))
     return rows.rollup("symbol").agg(
-        F.sum("t").alias("total_ticks"), F.max("time").alias("last_tick_time"),
-        F.avg("spread").alias("avg_spread"), F.sum("b").alias("bars_completed"),
+        (F.grouping_id() == 1).alias("is_total"), F.sum("t").alias("total_ticks"), F.max("time").alias("last_tick_time"),
+        F.try_divide(F.sum("t") * F.lit(1e6), span).alias("ticks_per_second"),
+        F.avg("spread").alias("avg_spread"), F.sum("b").alias("bars_completed"), F.sum("e").alias("errors"),
     )
 
 
 def profile_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: missing, infinite, min, max, mean and sample deviation. One pass."""
+    """Per column: rows of the table, missing, infinite, min, max, mean and sample deviation. One pass."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "feature", "value").withColumn("value", S.nan_to_null(F.col("value")))
     return long.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col("value").isNull()).alias("missing_values"),
         F.count_if(F.abs("value") == F.lit(float("inf"))).alias("infinite_values"),
         F.min("value").alias("min"), F.max("value").alias("max"),
@@ -133,33 +147,72 @@ def profile_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+# Deviations this small against the mean are rounding: the column is constant.
+_ROUNDING = 1e-24
+
+
+def _pair_moments(columns: Sequence[str]):
+    """Per partition and pair of columns: rows with both, means and (co)deviations.
+
+    Values are shifted by the partition's first value before they are squared.
+    """
+    first, second = np.triu_indices(len(columns))
+
+    def compute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shift = np.full(len(columns), np.nan)
+        sums = np.zeros((4, len(columns), len(columns)))
+        for part in parts:
+            values = part.to_numpy(float)
+            there = ~np.isnan(values)
+            begin = np.where(there.any(axis=0), values[there.argmax(axis=0), np.arange(len(columns))], np.nan) if len(values) else shift
+            shift = np.where(np.isnan(shift), begin, shift)
+            x, m = np.where(there, values - shift, 0.0), there.astype(float)
+            sums += m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+        n, total, squares, products = sums
+        with np.errstate(invalid="ignore", divide="ignore"):
+            a, b = total / n, total.T / n
+            cells = {
+                "n": n, "mean_a": a + shift[:, None], "mean_b": b + shift[None, :], "aa": squares - n * a * a, "bb": squares.T - n * b * b,
+                "ab": products - n * a * b,
+            }
+        out = pd.DataFrame({"i": first, "j": second, **{k: v[first, second] for k, v in cells.items()}})
+        yield out[out.n > 0]
+
+    return compute
+
+
 def correlate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns, in long form, both ways round.
 
-    Up to ``PAIRWISE_COLUMNS`` columns: one aggregation, pairs with a missing value
-    skipped. Beyond: the ML Gram matrix, for which missing values must be filled before;
-    only the columns x columns matrix reaches the driver. A constant column has no
+    Pairs with a missing or not-a-number value are skipped. Each partition reduces its rows to one
+    row for each pair; these are added up around the common mean. A constant column has no
     correlation, not even with itself.
     """
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
+        _pair_moments(columns), "i int, j int, n double, mean_a double, mean_b double, aa double, bb double, ab double")
+    # Rows are pairs times partitions.
+    pair = Window.partitionBy("i", "j")
+    whole = F.sum("n").over(pair)
+    centred = parts.withColumns({
+        "da": F.col("mean_a") - F.sum(F.col("n") * F.col("mean_a")).over(pair) / whole,
+        "db": F.col("mean_b") - F.sum(F.col("n") * F.col("mean_b")).over(pair) / whole,
+    })
+    n, da, db = F.col("n"), F.col("da"), F.col("db")
+    level = lambda m: F.sum(n * F.col(m) * F.col(m)) * _ROUNDING
+    summed = centred.groupBy("i", "j").agg(
+        F.sum(F.col("aa") + n * da * da).alias("aa"), F.sum(F.col("bb") + n * db * db).alias("bb"),
+        F.sum(F.col("ab") + n * da * db).alias("ab"), level("mean_a").alias("small_a"), level("mean_b").alias("small_b"),
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    corr = F.when(
+        (F.col("aa") > F.col("small_a")) & (F.col("bb") > F.col("small_b")),
+        F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("ab") / F.sqrt("aa") / F.sqrt("bb")),
+    )
+    # Every pair of names, also those without a common row.
     spark = df.sparkSession
-    if len(columns) <= PAIRWISE_COLUMNS:
-        pairs = list(combinations(columns, 2))
-        row = df.agg(
-            *[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)],
-            *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(columns)],
-        )
-        both = [(f"p{i}", x, y) for i, (a, b) in enumerate(pairs) for x, y in ((a, b), (b, a))]
-        cells = [F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), F.col(p).alias("corr")) for p, x, y in both]
-        cells += [
-            F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"), F.when(F.col(f"v{i}") > 0, 1.0).alias("corr"))
-            for i, c in enumerate(columns)
-        ]
-        return row.select(F.inline(F.array(*cells)))
-    packed = VectorAssembler(inputCols=list(columns), outputCol="v").transform(df.select(*columns)).select("v")
-    matrix = Correlation.corr(packed, "v").first()[0].toArray()
-    constant = [not v for v in df.agg(*[F.var_pop(c) for c in columns]).first()]
-    cells = [
-        (a, b, None if constant[i] or constant[j] else float(matrix[i, j]))
-        for i, a in enumerate(columns) for j, b in enumerate(columns)
-    ]
-    return spark.createDataFrame(cells, "col_a string, col_b string, corr double")
+    pairs = spark.range(len(columns)).select(F.col("id").cast("int").alias("i")).withColumn(
+        "j", F.explode(F.sequence(F.col("i"), F.lit(len(columns) - 1))))
+    filled = pairs.join(summed, ["i", "j"], "left").select("i", "j", corr.alias("corr"))
+    both = F.array_distinct(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
+    return filled.select("corr", F.explode(both).alias("p")).select(
+        F.get(names, F.col("p.a")).alias("col_a"), F.get(names, F.col("p.b")).alias("col_b"), "corr")

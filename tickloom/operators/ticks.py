@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as S
-from tickloom.operators.ordered import Axis, by_time, previous, running
+from tickloom.operators.ordered import SLICE_SECONDS, Axis, by_time, previous, running
 
 
 def fill_defaults(ticks: DataFrame) -> DataFrame:
@@ -130,9 +130,12 @@ def sent_direction(sent: DataFrame, axis: Axis, start: Column | None = None) ->
     return out.withColumn("direction", S.sign(F.col("last") - before)).drop("_p")
 
 
-def clean(ticks: DataFrame) -> DataFrame:
-    """Historical cleaning: direction and spread on the raw tape, then first copies."""
-    raw = with_direction(fill_defaults(ticks))
+def clean(ticks: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Historical cleaning: direction and spread on the raw tape, then first copies.
+
+    Ticks without symbol or time stay, with direction 0; ``quality.check_ticks`` counts them.
+    """
+    raw = with_direction(fill_defaults(ticks), axis=by_time(seconds=slice_seconds))
     return first_copies(raw.withColumn("spread", S.spread(F.col("bid"), F.col("ask"))))
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.joins import BAR_CONTEXT, with_bar_context
-from tickloom.operators.ordered import by_time, last_known, last_known_cut
+from tickloom.operators.ordered import SLICE, SLICE_SECONDS, by_time, last_known_cut
 from tickloom.operators.rolling import FEATURE_NAMES, WINDOWS, feature_columns, rolling_features
 from tickloom.operators.ticks import fill_defaults
-from tickloom.session import use_checkpoints
 
 
 def _or_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -23,9 +22,19 @@ def _clean(column: str) -> Column:
     return F.expr(f"case when isnan({column}) then null when abs({column}) = double('infinity') then 0D else {column} end")
 
 
-def fill_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Infinite to 0, then the symbol's last known value, then 0."""
-    return _or_zero(last_known(df, {c: _clean(c) for c in columns}, by_time()), columns)
+def fill_features(df: DataFrame, columns: Sequence[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Infinite to 0, then the symbol's last known value, then 0.
+
+    The rows are dealt once by (symbol, slice); the last values of the slices and the rows
+    are both read from that shuffle.
+    """
+    axis = by_time(seconds=slice_seconds)
+    return _filled(axis.cut(df), columns, slice_seconds).drop(SLICE)
+
+
+def _filled(cut: DataFrame, columns: Sequence[str], slice_seconds: int) -> DataFrame:
+    dealt = cut.repartition("symbol", SLICE)
+    return _or_zero(last_known_cut(dealt, {c: _clean(c) for c in columns}, by_time(seconds=slice_seconds)), columns)
 
 
 def extract_features(
@@ -34,16 +43,13 @@ def extract_features(
     features: Sequence[str] = FEATURE_NAMES,
     windows: Sequence[int] = WINDOWS,
     closed_bars_only: bool = False,
-    checkpoint: bool = False,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """All features of every tick on one frame, filled.
 
-    Bar context goes along as columns and the fill uses the slices the windows ran in,
-    so neither needs a join or a shuffle of the wide table. The fill reads the unfilled
-    table twice: for the last values of each slice and for the rows. With ``checkpoint``
-    that table is computed once and kept in the shared checkpoint folder, which runs a
-    job right away and makes the fill shuffle the wide rows; without, the windows run
-    twice over narrow rows.
+    Bar context goes along as columns, so it needs no join. The windows run once: their
+    result is dealt by (symbol, slice) again, and the fill takes both the last values of each slice and
+    the rows from that one shuffle.
     """
     base = fill_defaults(ticks)
     context: tuple[str, ...] = ()
@@ -51,12 +57,8 @@ def extract_features(
         needed = ["tick_id", "symbol", "time", "bid", "ask", "last", "volume"]
         if "direction" in base.columns:
             needed.append("direction")
-        base = with_bar_context(base.select(*needed), bars, closed_bars_only)
+        base = with_bar_context(base.select(*needed), bars, closed_bars_only, slice_seconds)
         context = BAR_CONTEXT
-    wide = rolling_features(base, features, windows, keep=context, keep_slice=True)
+    wide = rolling_features(base, features, windows, keep=context, keep_slice=True, slice_seconds=slice_seconds)
     columns = [*feature_columns(features, windows), *context]
-    if checkpoint:
-        use_checkpoints(wide.sparkSession)
-        wide = wide.checkpoint()
-    filled = last_known_cut(wide, {c: _clean(c) for c in columns}, by_time())
-    return _or_zero(filled.drop("_slice"), columns)
+    return _filled(wide, columns, slice_seconds).drop(SLICE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -19,11 +20,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Clusters set ``spark.checkpoint.dir``. Only where it is unset (tests on one
-    machine) a temporary folder is made and recorded in the session.
+    Clusters set ``spark.checkpoint.dir``. Only where it is unset and everything runs on one
+    machine a temporary folder is made and recorded in the session; executors elsewhere
+    would each write to a disk of their own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors reach (master {master!r})")
         folder = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -60,6 +60,15 @@ def duplicated_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(again)
 
 
+def ticks_with_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape where every tenth row lacks its symbol, its time or its id; ``row_id`` keeps the id."""
+    part = F.col("tick_id") % 30
+    return ticks(spark, sf_dir).withColumn("row_id", F.col("tick_id")).withColumns({
+        "symbol": F.when(part != 0, F.col("symbol")), "time": F.when(part != 10, F.col("time")),
+        "tick_id": F.when(part != 20, F.col("tick_id")),
+    })
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_ops.minute_bars(ticks(spark, sf_dir))
 
