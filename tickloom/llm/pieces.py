@@ -1,7 +1,8 @@
 """SentencePiece encoding by suffix-array matching, and decoding.
 
 A batch's texts are cut in chunks at places that no piece of the vocabulary crosses
-(before white space that follows something else, and around line breaks), which changes no encoding. Chunks not
+(before white space that follows something else, and around line breaks), and a chunk not seen before in
+parts where two characters meet that stand side by side in no piece; neither changes an encoding. Parts not
 seen before are joined to one text and indexed by a suffix array, sorted by prefix
 doubling to the length of the longest piece. A binary search of every piece at once gives
 the range of its occurrences; each occurrence is an edge from its start to its end. The
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks of a generation (the last two are kept) and piece pairs a worker remembers; forgetting costs time alone.
-_KEPT_CHUNKS, _KEPT_PAIRS = 400_000, 3_000_000
-#: Longest run of texts, in characters, that is taken at once.
-_BATCH_CHARS = 8_000_000
+_KEPT_CHUNKS, _KEPT_PAIRS = 250_000, 2_000_000
+#: Longest run of texts, and of new parts, in characters, that is taken at once.
+_BATCH_CHARS, _INDEX_CHARS = 4_000_000, 400_000
 
 
 class PieceModel:
@@ -61,6 +62,14 @@ class PieceModel:
         for row, i in enumerate(self.ids):
             self.codes[row, :len(self.texts[i])] = [ord(c) for c in self.texts[i]]
         self.lengths = np.array([len(self.texts[i]) for i in self.ids], np.int64)
+        # Characters of longer pieces are numbered from 1; which of them meet in a piece.
+        longer = [self.texts[i] for i in self.ids if len(self.texts[i]) > 1]
+        letters = sorted(set("".join(longer)))
+        self.number = np.zeros(0x110000, np.int32)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.meets = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        pairs = {t[k:k + 2] for t in longer for k in range(len(t) - 1)}
+        self.meets[[self.number[ord(p[0])] for p in pairs], [self.number[ord(p[1])] for p in pairs]] = True
 
     def _chunk_pattern(self) -> re.Pattern:
         longer = [t for t in self.rank if len(t) > 1]
@@ -134,22 +143,51 @@ class Encoder:
         self.model = model
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.numbers = list(range(len(model.texts)))
         self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
         if len(self.known) > _KEPT_CHUNKS:
             self.known, self.older = {}, self.known
+        if len(self.parts) > _KEPT_CHUNKS:
+            self.parts = {}
         cut = [self.model.chunks.findall(self.model.processor.normalize(t)) for t in texts]
         fresh = set(chain.from_iterable(cut)).difference(self.known)
         again = fresh.intersection(self.older)
         self.known.update((c, self.older[c]) for c in again)
         fresh = list(fresh - again)
         if fresh:
-            self.known.update(zip(fresh, self._encode(fresh)))
+            self.known.update(self._by_parts(fresh))
         get = self.known.__getitem__
         return [list(chain.from_iterable(map(get, chunks))) for chunks in cut]
 
+    def _by_parts(self, chunks: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """Encodings of chunks, from those of their parts."""
+        joined = "\n".join(chunks)
+        number = self.model.number[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+        cut = ~self.model.meets[number[:-1], number[1:]]
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1) - 1
+        # The line break between two chunks is a part of neither.
+        cut[ends[:-1] - 1], cut[ends[:-1]] = True, True
+        bounds = np.concatenate(([0], np.flatnonzero(cut) + 1, [len(joined)])).tolist()
+        parts = [joined[a:b] for a, b in zip(bounds, bounds[1:])]
+        fresh = list(set(parts).difference(self.parts))
+        start = size = 0
+        for i, part in enumerate(fresh):
+            if i > start and size + len(part) > _INDEX_CHARS:
+                self.parts.update(zip(fresh[start:i], self._encode(fresh[start:i])))
+                start, size = i, 0
+            size += len(part) + 1
+        if fresh:
+            self.parts.update(zip(fresh[start:], self._encode(fresh[start:])))
+        last = np.searchsorted(bounds, ends).tolist()
+        first = 0
+        for chunk, after in zip(chunks, last):
+            own = parts[first:after]
+            yield chunk, self.parts[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(self.parts.__getitem__, own)))
+            first = after + 1
+
     def _encode(self, chunks: list[str]) -> list[tuple[int, ...]]:
         model = self.model
         # One symbol between chunks, which no piece holds.
@@ -217,6 +255,9 @@ class Encoder:
 
     def _pair(self, left: int, right: int) -> bool:
         a, b = self._text(left), self._text(right)
+        number = self.model.number
+        if not self.model.meets[number[ord(a[-1])], number[ord(b[0])]]:
+            return True
         return self.model.merge(a + b) == [a, b]
 
     def _text(self, piece: int) -> str:
@@ -248,6 +289,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(model: bytes) -> Encoder:
+    """One for all tasks of a worker, which go on with what the last has found."""
+    return Encoder(_model(model))
+
+
 def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
@@ -262,7 +309,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc
     kind, model = docs.schema[id_column].dataType.simpleString(), _read(model_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(_model(model))
+        encoder = _encoder(model)
         for batch in batches:
             for part in _parts(batch):
                 texts = [v.as_py() or "" for v in part.column(1)]
