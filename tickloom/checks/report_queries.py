@@ -135,7 +135,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("feature_profile", f"""WITH {Q.features_ctes()}, wide AS (SELECT {_DOUBLES} FROM features),
-long AS (SELECT * FROM (UNPIVOT INCLUDE NULLS wide ON {', '.join(_PROFILED)} INTO NAME feature VALUE value))
+long AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_PROFILED)})))
 SELECT feature, count(*) AS total_rows, count(*) - count(value) AS missing_values, count(*) FILTER (isinf(value)) AS infinite_values,
   round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
 FROM long GROUP BY feature""")
@@ -144,20 +144,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("feature", "total_rows", "missing_values", "infinite_values", *rounded(["min", "max", "mean", "std"]))
 
 
-def _corr_sql(a: str, b: str) -> str:
-    """Correlation over the rows with both values; null where one of them is constant there."""
-    both = f"FILTER ({a} IS NOT NULL AND {b} IS NOT NULL)"
-    moving = f"max({a}) {both} > min({a}) {both} AND max({b}) {both} > min({b}) {both}"
-    return f"CASE WHEN {moving} THEN {'1.0::DOUBLE' if a == b else f'round(corr({a}, {b}), 5)'} END"
-
-
-# One pass over the table: a list of all pairs, taken apart afterwards.
-_PAIRS = [(a, b) for i, a in enumerate(_PROFILED) for b in _PROFILED[i:]]
-
-
-@query("feature_correlation", f"""WITH {Q.features_ctes()}, wide AS (SELECT {_DOUBLES} FROM features),
-listed AS (SELECT unnest([{', '.join(f"{{'a': '{a}', 'b': '{b}', 'corr': {_corr_sql(a, b)}}}" for a, b in _PAIRS)}]) AS p FROM wide)
-SELECT p.a AS col_a, p.b AS col_b, p.corr AS corr FROM listed UNION ALL SELECT p.b, p.a, p.corr FROM listed WHERE p.a <> p.b""")
+@query("feature_correlation", f"""WITH {Q.features_ctes()}, wide AS (SELECT tick_id, {_DOUBLES} FROM features),
+long AS (SELECT * FROM (UNPIVOT wide ON {', '.join(_PROFILED)} INTO NAME feature VALUE value)),
+names AS (SELECT unnest([{', '.join(f"'{c}'" for c in _PROFILED)}]) AS feature),
+pairs AS (SELECT a.feature AS col_a, b.feature AS col_b,
+    CASE WHEN max(a.value) > min(a.value) AND max(b.value) > min(b.value) THEN round(corr(a.value, b.value), 5) END AS corr
+  FROM long a JOIN long b USING (tick_id) GROUP BY a.feature, b.feature)
+SELECT a.feature AS col_a, b.feature AS col_b, CASE WHEN a.feature = b.feature AND corr IS NOT NULL THEN 1.0::DOUBLE ELSE corr END AS corr
+FROM names a CROSS JOIN names b LEFT JOIN pairs p ON p.col_a = a.feature AND p.col_b = b.feature""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return V.correlate(_features(spark, sf), _PROFILED).select("col_a", "col_b", F.round("corr", 5).alias("corr"))
 
