@@ -35,25 +35,22 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Chunks of a generation (the last two are kept) and piece pairs a worker remembers; forgetting costs time alone.
-_KEPT_CHUNKS, _KEPT_PAIRS = 250_000, 2_000_000
+_KEPT_CHUNKS, _KEPT_PAIRS = 120_000, 1_000_000
 #: Longest run of texts, and of new parts, in characters, that is taken at once.
-_BATCH_CHARS, _INDEX_CHARS = 4_000_000, 400_000
+_BATCH_CHARS, _INDEX_CHARS = 2_000_000, 200_000
 
 
 class PieceModel:
     """Pieces of a BPE model file, and what follows from them."""
 
     def __init__(self, model: bytes) -> None:
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.processor = _processor(model)
         size = self.processor.get_piece_size()
         self.texts = [self.processor.id_to_piece(i) for i in range(size)]
         odd = [self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_unused(i) for i in range(size)]
         is_byte = [self.processor.is_byte(i) for i in range(size)]
         self.byte_ids = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if is_byte[i]}
         self.rank = {t: (self.processor.get_score(i), i) for i, t in enumerate(self.texts) if not odd[i] and not is_byte[i]}
-        self.bytes_of = [
-            bytes([int(t[3:5], 16)]) if is_byte[i] else b"" if odd[i] else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)
-        ]
         self.chunks = self._chunk_pattern()
         # Pieces that encode to themselves; only these can be part of an encoding.
         self.ids = np.array([i for t, (_, i) in self.rank.items() if self.merge(t) == [t]], np.int64)
@@ -88,15 +85,35 @@ class PieceModel:
             _, i = min(pairs)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
 
-    def decode(self, ids: Iterable[int]) -> str:
+
+class Decoder:
+    """The bytes of every id."""
+
+    def __init__(self, model: bytes) -> None:
+        self.bytes_of = [self._bytes(_processor(model), i) for i in range(_processor(model).get_piece_size())]
+
+    @staticmethod
+    def _bytes(processor: sentencepiece.SentencePieceProcessor, i: int) -> bytes:
+        if processor.is_byte(i):
+            return bytes([int(processor.id_to_piece(i)[3:5], 16)])
+        if processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i):
+            return b""
+        return processor.id_to_piece(i).replace(SPACE, " ").encode()
+
+    def __call__(self, ids: Iterable[int]) -> str:
         """Text of ids; the space the encoder puts before a text is taken off."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
-def _model(model: bytes) -> PieceModel:
-    return PieceModel(model)
+@lru_cache(maxsize=1)
+def _processor(model: bytes) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
+@lru_cache(maxsize=1)
+def _decoder(model: bytes) -> Decoder:
+    return Decoder(model)
 
 
 class SuffixArray:
@@ -292,7 +309,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def _encoder(model: bytes) -> Encoder:
     """One for all tasks of a worker, which go on with what the last has found."""
-    return Encoder(_model(model))
+    return Encoder(PieceModel(model))
 
 
 def default_model() -> str:
@@ -340,9 +357,9 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     kind, model = encoded.schema["id"].dataType.simpleString(), _read(model_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _model(model)
+        text_of = _decoder(model)
         for batch in batches:
-            texts = [pieces.decode(v.values.to_pylist()) for v in batch.column(2)]
+            texts = [text_of(v.values.to_pylist()) for v in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "text", "ids", "decoded"])
 
     return encoded.select("id", "text", "ids").mapInArrow(run, f"id {kind}, text string, ids array<int>, decoded string")
