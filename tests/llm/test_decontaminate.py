@@ -17,8 +17,12 @@ def items_frame(spark, rows):
 
 def brute_scores(index, words):
     """Score of each item for a passage."""
-    have = {index.terms[w] for w in words if w in index.terms}
-    return [sum(s for t, s in own.items() if t in have) for own in index.item_scores]
+    scores = [0.0] * len(index.ids)
+    for t in {index.terms[w] for w in words if w in index.terms}:
+        for block in range(index.block_start[t], index.block_start[t + 1]):
+            for at in range(index.item_start[block], index.item_start[block + 1]):
+                scores[index.item_of[at]] += index.item_score[at]
+    return scores
 
 
 def test_candidates_are_all_items_above_the_threshold():

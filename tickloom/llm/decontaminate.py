@@ -41,7 +41,7 @@ WORD = re.compile(r"\w+")
 #: Constants of BM25.
 K1, B = 1.2, 0.75
 #: Passages whose bounds are computed at once times the blocks of the index.
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -64,7 +64,11 @@ def shingles(words: list[str], size: int) -> set[tuple[str, ...]]:
 
 @dataclass
 class ItemIndex:
-    """Postings of a set of items, and the largest score of each term in each block of items."""
+    """Postings of a set of items, and the largest score of each term in each block of items.
+
+    The blocks of term t are block_start[t] to block_start[t + 1], the items of the b-th of these are
+    item_start[b] to item_start[b + 1].
+    """
 
     ids: list
     words: list[list[str]]
@@ -74,7 +78,9 @@ class ItemIndex:
     block_start: np.ndarray
     block_of: np.ndarray
     block_score: np.ndarray
-    item_scores: list[dict[int, float]]
+    item_start: np.ndarray
+    item_of: np.ndarray
+    item_score: np.ndarray
     block_items: int
     shingle_words: int
 
@@ -89,21 +95,24 @@ class ItemIndex:
         terms = {t: i for i, t in enumerate(frequency)}
         idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
         mean = sum(map(len, words)) / max(1, len(words))
-        scores = []
-        for w, c in zip(words, counts):
+        postings: list[list[tuple[int, float]]] = [[] for _ in terms]
+        for item, (w, c) in enumerate(zip(words, counts)):
             raw = {terms[t]: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in c.items()}
             whole = sum(raw.values())
-            scores.append({t: s / whole for t, s in raw.items()})
-        blocks: list[dict[int, float]] = [{} for _ in terms]
-        for i, own in enumerate(scores):
-            for t, s in own.items():
-                blocks[t][i // block_items] = max(s, blocks[t].get(i // block_items, 0.0))
+            for t, score in raw.items():
+                postings[t].append((item, score / whole))
+        term = np.repeat(np.arange(len(terms)), [len(own) for own in postings])
+        item_of = np.array([item for own in postings for item, _ in own], np.int64)
+        item_score = np.array([score for own in postings for _, score in own], np.float64)
+        n_blocks = max(1, -(-len(words) // block_items))
+        entries, item_start = np.unique(term * n_blocks + item_of // block_items, return_index=True)
+        block_score = np.maximum.reduceat(item_score, item_start) if len(entries) else item_score
+        block_start = np.searchsorted(entries, np.arange(len(terms) + 1) * n_blocks)
         return ItemIndex(
             [x[0] for x in split], words, [(shingles(q, shingle_words), shingles(a, shingle_words)) for _, q, a in split], terms,
-            np.array([max(b.values()) for b in blocks] or [0.0]),
-            np.concatenate(([0], np.cumsum([len(b) for b in blocks]))).astype(np.int64),
-            np.array([k for b in blocks for k in b], np.int64), np.array([s for b in blocks for s in b.values()]),
-            scores, block_items, shingle_words,
+            np.maximum.reduceat(block_score, block_start[:-1]) if len(entries) else np.zeros(1),
+            block_start, entries % n_blocks, block_score, np.append(item_start, len(item_of)), item_of, item_score,
+            block_items, shingle_words,
         )
 
     @property
@@ -128,23 +137,31 @@ class ItemIndex:
             group = live[at:at + step]
             a, b = np.searchsorted(passage, [group[0], group[-1] + 1])
             own, where = numbers[a:b], np.searchsorted(group, passage[a:b])
-            sizes = self.block_start[own + 1] - self.block_start[own]
-            first = np.cumsum(sizes) - sizes
-            places = np.arange(sizes.sum()) + np.repeat(self.block_start[own] - first, sizes)
-            cells = np.repeat(where, sizes) * n_blocks + self.block_of[places]
+            places, source = _expand(self.block_start, own)
+            cells = where[source] * n_blocks + self.block_of[places]
             bounds = np.bincount(cells, self.block_score[places], len(group) * n_blocks)
-            for cell in np.flatnonzero(bounds >= limit).tolist():
-                which, block = divmod(cell, n_blocks)
-                left, right = np.searchsorted(where, [which, which + 1])
-                terms = own[left:right].tolist()
-                for item in range(block * self.block_items, min((block + 1) * self.block_items, len(self.ids))):
-                    get = self.item_scores[item].get
-                    score = sum(map(get, terms, repeat(0.0)))
-                    if score >= limit:
-                        found.append((int(group[which]), item, score))
+            # Exact scores in the blocks whose bound reaches the threshold.
+            open_ = np.flatnonzero(bounds >= limit)
+            inside = np.flatnonzero(bounds[cells] >= limit)
+            posts, source = _expand(self.item_start, places[inside])
+            item = self.item_of[posts]
+            slot = np.searchsorted(open_, cells[inside])[source] * self.block_items + item % self.block_items
+            scores = np.bincount(slot, self.item_score[posts], len(open_) * self.block_items)
+            hits = np.flatnonzero(scores >= limit)
+            which, block = np.divmod(open_[hits // self.block_items], n_blocks)
+            item = block * self.block_items + hits % self.block_items
+            there = item < len(self.ids)  # the last block may be short
+            found += zip(group[which][there].tolist(), item[there].tolist(), scores[hits][there].tolist())
         return found
 
 
+def _expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the given rows of a list of lists, and for each place the position of its row."""
+    sizes = starts[rows + 1] - starts[rows]
+    source = np.repeat(np.arange(len(rows)), sizes)
+    return np.arange(len(source)) + (starts[rows] - np.cumsum(sizes) + sizes)[source], source
+
+
 class PassageSearch:
     def __init__(self, index: ItemIndex, threshold: float, overlap: float) -> None:
         self.index, self.threshold, self.overlap = index, threshold, overlap
@@ -244,7 +261,7 @@ def contaminated(
     return found
 
 
-def _pieces(column: pa.Array, most_chars: int = 16_000_000) -> Iterator[tuple[int, list[str]]]:
+def _pieces(column: pa.Array, most_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """(row of the first, texts) in lists of a bounded size, or of one text."""
     start, texts, size = 0, [], 0
     for row, value in enumerate(column):
