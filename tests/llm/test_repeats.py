@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -9,6 +12,8 @@ import pytest
 from tests.llm.helpers import documents, edge_rows, frame
 from tickloom.llm import repeats as op
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def brute(rows, length):
     """Bytes that stay, number of runs removed; in order of id, then text's place."""
@@ -76,3 +81,18 @@ def test_every_window_has_one_sample_inside_it():
         windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last)]) if len(first) else np.empty(0)
         assert windows.tolist() == list(range(max(0, n - 99)))
         assert (place >= last).all() and (place + op.GRAM <= first + 100).all()
+
+
+def test_runs_in_a_process_that_has_imported_nothing_else():
+    """Workers of this process import what the operator names, and no other test's imports."""
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from tickloom.llm import repeats\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "twice = 'the same hundred bytes and more of them ' * 5\n"
+        "docs = spark.createDataFrame([(1, twice), (2, twice), (3, None)], 'doc_id long, text string')\n"
+        "print(sorted((r['id'], len(r['spans'])) for r in repeats.remove_repeats(docs).collect()))\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("[(1, 1), (2, 1), (3, 0)]"), done.stderr[-2000:]

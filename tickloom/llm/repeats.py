@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,11 +306,11 @@ def _sorted_spans(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _chunk(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    plain = table.filter(pa.compute.is_null(table["context"]))
+    plain = table.filter(pc.is_null(table["context"]))
     if plain.num_rows:
         start = plain["start"].to_numpy()
         yield _span_batch(plain["place"].to_numpy(), plain["tie"].to_numpy(), start, start + plain["sample"].to_numpy() + length - 1)
-    table = table.filter(pa.compute.is_valid(table["context"]))
+    table = table.filter(pc.is_valid(table["context"]))
     if not table.num_rows:
         return
     names = ("gram", "place", "tie", "start", "sample")
