@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.checks.registry import query
-from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, repeats, scoring, simhash
+from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, repeats, scoring, simhash, whitening
 from tickloom.llm.shared import crc32_of_id, table
 
 
@@ -98,3 +98,29 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("vector", lambda c: F.floor(64 * c.cast("double")) + 1000000)
+    vectors = whitening.vectors_of(table(spark, sf_dir, "embeddings")).withColumn("vector", whole)
+    return whitening_rows(vectors, count=32)
+
+
+def whitening_rows(vectors: DataFrame, count: int) -> DataFrame:
+    """One row for each vector of whole numbers and component."""
+    columns = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
+    model = whitening.fit(vectors)
+    if model is None:
+        return vectors.sparkSession.createDataFrame([], columns)
+    found = whitening.whiten(vectors, model, count)
+    error = whitening.identity_error(found)
+    sums = F.array(*[F.lit(int(s)).cast("long") for s in model.sums])
+    steps = F.zip_with("vector", sums, lambda x, s: F.lit(model.n).cast("long") * x - s)
+    deviation = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step * step)
+    shares = F.array(*[F.lit(float(e) / model.trace if model.trace else None).cast("double") for e in model.eigenvalues[:count]])
+    exploded = found.select("id", deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return exploded.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, "at").alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
