@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.checks.registry import query
-from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, repeats, scoring, simhash, whitening
+from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, repeats, scoring, simhash, token_counts, whitening
 from tickloom.llm.shared import crc32_of_id, table
 
 
@@ -124,3 +124,9 @@ def whitening_rows(vectors: DataFrame, count: int) -> DataFrame:
         F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(shares, "at").alias("explained"), F.lit(error).cast("double").alias("identity_error"),
     )
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
