@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.checks.registry import query
-from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, pieces, repeats, scoring, simhash, token_counts, whitening
+from tickloom.llm import archive, chat, decontaminate, exact, language, licenses, negatives, pieces, repeats, scoring, simhash, token_counts, whitening
+from tickloom.llm import vectors as vector_helpers
 from tickloom.llm.shared import crc32_of_id, table
 
 
@@ -130,3 +131,29 @@ def whitening_rows(vectors: DataFrame, count: int) -> DataFrame:
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.count_tokens(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query("op13_hard_negatives", r"""
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pairs WHERE same AND anchor_id <> other_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+       n.other_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same
+ AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(vector_helpers.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform("embedding", lambda c: F.floor(256 * c.cast("double"))).alias("vector"),
+    )
+    return negatives.mine(vectors, F.col("id") % 100 == 0)
