@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -15,10 +16,12 @@ from tickloom.operators import bars as B
 from tickloom.operators import joins as J
 from tickloom.operators import messages as M
 from tickloom.operators import quality as V
+from tickloom.operators import rolling as R
 from tickloom.operators import ticks as K
 from tickloom.operators.ordered import by_arrival, by_time, last_known, previous, running
 from tickloom.plans.tape import extract_features, fill_features
 from tickloom.session import scratch_path
+from tickloom.sources import fixtures as fx
 from tickloom.sources import tables
 from tickloom.streaming import live
 
@@ -69,13 +72,50 @@ def test_extract_without_bars_has_no_gaps(spark, random_tape):
     assert out.count() == len(random_tape) and out.dropna().count() == len(random_tape)
 
 
-def test_extract_from_checkpoint_is_the_same(spark, random_tape):
-    plain, stored = (
-        extract_features(frame(spark, random_tape), features=["momentum", "volume_spike"], windows=[60], checkpoint=c)
-        .toPandas().set_index("tick_id").sort_index()
-        for c in (False, True)
-    )
-    pd.testing.assert_frame_equal(plain, stored)
+def test_extract_runs_the_windows_once(spark):
+    """The fill reads one shuffle twice: a single Python step in the plan that ran, and only its own columns go there."""
+    sf = "/root/testdata/sf0.001"
+    out = extract_features(fx.ticks(spark, sf), fx.bars(spark, sf))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    steps = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(steps) == 1 and "FlatMapGroups" not in plan and "MapInPandas" not in plan
+    sent = steps[0][steps[0].index("run("):steps[0].index(")#")]
+    assert set(re.findall(r"(\w+)#", sent)) == {"_c_n", "_us", "last", "volume", "bid", "ask", "_ret", "spread"}
+
+
+def test_rows_without_keys_stay(spark, random_tape):
+    holed = frame(spark, random_tape).withColumn("symbol", F.when(F.col("tick_id") % 10 != 0, F.col("symbol")))
+    out = extract_features(holed, features=["momentum", "volatility"], windows=[60])
+    assert out.count() == len(random_tape)
+    assert out.filter("symbol is null").agg(F.max("momentum_60s"), F.min("momentum_60s")).first() == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("bad", [float("inf"), float("-inf"), float("nan"), None, 1e12, -1e300])
+def test_a_bad_price_leaves_with_its_window(spark, bad):
+    """Windows that do not hold it are as if it had never been, in every column."""
+    good = tape(5, 400, [1000, 2000, 5000])
+    spoiled = good.copy()
+    at = len(good) // 3
+    for column in ("bid", "ask", "last"):
+        spoiled[column] = spoiled[column].astype(object)
+        spoiled.loc[at, column] = bad
+    schema = "tick_id long, symbol string, time timestamp, bid double, ask double, last double, volume long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    spoiled_rows = [(int(i), s, t.to_pydatetime(), b, a, x, int(v)) for i, s, t, b, a, x, v in spoiled[names].itertuples(index=False)]
+    columns = R.feature_columns(windows=[10, 60])
+    want, got = (
+        R.rolling_features(d, windows=[10, 60]).toPandas().set_index("tick_id").sort_index()
+        for d in (frame(spark, good), spark.createDataFrame(spoiled_rows, schema)))
+    row = good.loc[at]
+    gap = (good.time - row.time).dt.total_seconds()
+    # Its successor's change and return look back at it, wherever that lies.
+    after = good[(good.symbol == row.symbol) & (good.tick_id > row.tick_id)].sort_values(["time", "tick_id"])
+    beyond = good[(good.symbol != row.symbol) | (gap < 0) | (gap > 130)].tick_id
+    beyond = beyond[~beyond.isin(after.tick_id.head(60))]
+    assert len(beyond) > 100
+    pd.testing.assert_frame_equal(got.loc[beyond, columns], want.loc[beyond, columns], rtol=1e-9, atol=1e-12)
+
 
 
 def test_asof_before_first_bar_and_over_gaps(spark):
@@ -193,3 +233,17 @@ def test_sent_ticks_over_many_batches(spark, random_tape):
     live.send_ticks(stream, out, scratch_path(spark, "ckpt"), live.CATCH_UP).awaitTermination()
     want = K.sent_direction(K.newer_only(full, by_arrival()), by_arrival())
     assert sorted(rows(spark.read.parquet(f"{out}/sent"), "tick_id", "direction")) == sorted(rows(want, "tick_id", "direction"))
+
+
+def test_profile_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1.0, inf, None, 7.0, inf), (3.0, 2.0, None, 7.0, -inf), (None, nan, nan, 7.0, 1.0), (5.0, None, None, 7.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(3)
+    got = {r["feature"]: tuple(r)[2:] for r in V.profile_features(df, list("abcde")).collect()}
+    assert got["a"] == (4, 1, 0, 1.0, 5.0, 3.0, 2.0)
+    assert got["b"] == (4, 2, 1, 2.0, inf, inf, None)
+    assert got["c"] == (4, 4, 0, None, None, None, None)
+    assert got["d"] == (4, 0, 0, 7.0, 7.0, 7.0, 0.0)
+    assert got["e"][:5] == (4, 1, 2, -inf, inf) and got["e"][5] != got["e"][5] and got["e"][6] is None
+    empty = V.profile_features(df.limit(0), ["a"]).collect()
+    assert [tuple(r) for r in empty] == [("a", 1, 0, 0, 0, None, None, None, None)]

@@ -126,25 +126,33 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
         "symbol", "is_total", "total_ticks", *seconds("last_tick_time"), *rounded(["ticks_per_second", "avg_spread"]), "bars_completed", "errors")
 
 
-_PROFILED = R.feature_columns()
+_PROFILED = [*R.feature_columns(), *J.BAR_CONTEXT]
 _DOUBLES = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _PROFILED)
+_WITH_CONTEXT = f"""{Q.features_ctes()}, {Q.BARS[len(Q.TICKS) + 1:]}, {Q.ATR}, {Q.context_cte()},
+both_parts AS (SELECT f.*, {', '.join('c.' + c for c in Q.BAR_CONTEXT)} FROM features f JOIN context c USING (tick_id))"""
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return R.rolling_features(fx.ticks(spark, sf))
+    """Every feature and the bar context, before missing values are filled."""
+    ticks = J.with_bar_context(fx.ticks(spark, sf).select("tick_id", "symbol", "time", "bid", "ask", "last", "volume"), fx.bars(spark, sf))
+    return R.rolling_features(ticks, keep=J.BAR_CONTEXT)
 
 
-@query("feature_profile", f"""WITH {Q.features_ctes()}, wide AS (SELECT {_DOUBLES} FROM features),
+# Seven decimals: some mean lies just between two numbers of six, and its last digit would hang on the order of the sum.
+@query("feature_profile", f"""WITH {_WITH_CONTEXT}, wide AS (SELECT {_DOUBLES} FROM both_parts),
 long AS (SELECT * FROM wide UNPIVOT INCLUDE NULLS (value FOR feature IN ({', '.join(_PROFILED)})))
-SELECT feature, count(*) AS total_rows, count(*) - count(value) AS missing_values, count(*) FILTER (isinf(value)) AS infinite_values,
-  round(min(value), 6) AS min, round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+SELECT feature, CAST({len(_PROFILED)} AS BIGINT) AS total_features, count(*) AS total_rows, count(*) - count(value) AS missing_values,
+  count(*) FILTER (isinf(value)) AS infinite_values,
+  round(min(value), 6) AS min, round(max(value), 6) AS max, round(favg(value), 7) AS mean, round(stddev_samp(value), 7) AS std
 FROM long GROUP BY feature""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     out = V.profile_features(_features(spark, sf), _PROFILED)
-    return out.select("feature", "total_rows", "missing_values", "infinite_values", *rounded(["min", "max", "mean", "std"]))
+    return out.select(
+        "feature", "total_features", "total_rows", "missing_values", "infinite_values", *rounded(["min", "max"]),
+        F.round("mean", 7).alias("mean"), F.round("std", 7).alias("std"))
 
 
-@query("feature_correlation", f"""WITH {Q.features_ctes()}, wide AS (SELECT tick_id, {_DOUBLES} FROM features),
+@query("feature_correlation", f"""WITH {_WITH_CONTEXT}, wide AS (SELECT tick_id, {_DOUBLES} FROM both_parts),
 long AS (SELECT * FROM (UNPIVOT wide ON {', '.join(_PROFILED)} INTO NAME feature VALUE value)),
 names AS (SELECT unnest([{', '.join(f"'{c}'" for c in _PROFILED)}]) AS feature),
 pairs AS (SELECT a.feature AS col_a, b.feature AS col_b,

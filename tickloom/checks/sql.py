@@ -44,7 +44,7 @@ bars AS (
 
 # Ticks with predecessor values and the row-causal key: unique, and 2048 apart per second.
 STEP = 2048
-PREPARED = TICKS + f""",
+_PREPARE = f""",
 lagged AS (
   SELECT *, ask - bid AS spread, (bid + ask) / 2 AS mid,
          t * {STEP} + row_number() OVER (PARTITION BY symbol, t ORDER BY tick_id) - 1 AS key,
@@ -55,16 +55,28 @@ directed AS (
          (last - p_last) / p_last AS ret,
          CAST(coalesce(bid <> p_bid, true) AS BIGINT) AS bid_chg,
          CAST(coalesce(ask <> p_ask, true) AS BIGINT) AS ask_chg,
-         CAST(coalesce((last - p_last) % 0.5::DOUBLE = 0, false) AS BIGINT) AS adheres
+         CAST(coalesce((last - p_last) % 0.5::DOUBLE = 0, false) AS BIGINT) AS adheres,
+         CAST((last - p_last) IS NOT NULL AS BIGINT) AS pair
   FROM lagged),
 prepared AS (
-  SELECT *, CASE WHEN direction = 1 THEN volume ELSE 0 END AS buy,
-         CASE WHEN direction = -1 THEN volume ELSE 0 END AS sell,
+  SELECT *, CASE WHEN direction = 1 THEN volume ELSE volume * 0 END AS buy,
+         CASE WHEN direction = -1 THEN volume ELSE volume * 0 END AS sell,
          CAST(coalesce(direction <> lag(direction) OVER o, true) AS BIGINT) AS dir_chg,
-         CASE WHEN count(*) OVER m >= 10 THEN avg(volume) OVER m END AS volume_mean
+         CASE WHEN count(volume) OVER m >= 10 THEN avg(volume) OVER m END AS volume_mean
   FROM directed
   WINDOW o AS (PARTITION BY symbol ORDER BY key),
          m AS (PARTITION BY symbol ORDER BY key ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))"""
+PREPARED = TICKS + _PREPARE
+
+# Every 101st tick has a bad price; what is no finite number is missing.
+BAD_PRICES = EV + TICKS[len(EV):].replace("ticks AS (\n  SELECT tick_id, symbol", "whole AS (\n  SELECT tick_id, symbol") + """,
+ticks AS (
+  SELECT * REPLACE (
+    CASE WHEN kind IN (0, 4) THEN NULL WHEN kind = 6 THEN 1e12::DOUBLE ELSE bid END AS bid,
+    CASE WHEN kind IN (1, 5) THEN NULL ELSE ask END AS ask,
+    CASE WHEN kind IN (2, 3, 5) THEN NULL WHEN kind = 7 THEN 1e12::DOUBLE ELSE last END AS last,
+    CASE WHEN kind = 4 THEN NULL ELSE volume END AS volume)
+  FROM (SELECT *, CASE WHEN tick_id % 101 = 0 THEN tick_id // 101 % 8 ELSE -1 END AS kind FROM whole))"""
 
 MESSAGES = EV + """,
 messages AS (
@@ -100,7 +112,14 @@ _FORMULAS = {
     "bid_change_freq": "(s_bchg_{w} - f_bchg_{w} + 1) / {w}.0",
     "ask_change_freq": "(s_achg_{w} - f_achg_{w} + 1) / {w}.0",
     "avg_time_between_ticks": "(t - f_t_{w}) / (n_{w} - 1)",
-    "tick_size_adherence": "(s_adh_{w} - f_adh_{w}) / (n_{w} - 1)",
+    "tick_size_adherence": "CASE WHEN s_pair_{w} = f_pair_{w} THEN 1.0 ELSE (s_adh_{w} - f_adh_{w}) / (s_pair_{w} - f_pair_{w}) END",
+}
+# The column whose values the minimum counts; rows for the others.
+_ABOUT = {
+    "price_velocity": "last", "range_velocity": "last", "rejection_strength": "last", "level_tests": "last", "tick_size_adherence": "last",
+    "buy_pressure": "volume", "sell_pressure": "volume", "volume_imbalance": "volume", "volume_spike": "volume",
+    "volume_velocity": "volume", "large_print_ratio": "volume",
+    "spread_normalized": "spread", "spread_volatility": "spread", "bid_change_freq": "bid", "ask_change_freq": "ask",
 }
 _AGGREGATES = {
     "n": "count(*)", "first_last": "first_value(last)", "sd_ret": "stddev_samp(ret)",
@@ -113,31 +132,35 @@ _AGGREGATES = {
     "s_bchg": "sum(bid_chg)", "f_bchg": "first_value(bid_chg)",
     "s_achg": "sum(ask_chg)", "f_achg": "first_value(ask_chg)",
     "f_t": "first_value(t)", "s_adh": "sum(adheres)", "f_adh": "first_value(adheres)",
+    "s_pair": "sum(pair)", "f_pair": "first_value(pair)", **{f"has_{c}": f"count({c})" for c in ("last", "volume", "spread", "bid", "ask")},
 }
 
 
-def features_ctes(features: Sequence[str] = FEATURE_NAMES, windows: Sequence[int] = WINDOWS) -> str:
-    """CTEs ending in ``features``: tick_id, symbol, t, key and unrounded feature columns."""
+def features_ctes(
+    features: Sequence[str] = FEATURE_NAMES, windows: Sequence[int] = WINDOWS, ticks: str = TICKS, keep: str = ""
+) -> str:
+    """CTEs ending in ``features``: tick_id, symbol, t, key and unrounded feature columns of the last table of ``ticks``."""
     wanted = list(dict.fromkeys(["price_velocity" if f == "acceleration" else f for f in features]))
     aggs, values = [], []
     for w in windows:
-        text = " ".join(_FORMULAS[f].format(w=w) for f in wanted) + f" n_{w} "
+        guards = {f: f"has_{_ABOUT[f]}_{w}" if f in _ABOUT else f"n_{w}" for f in wanted}
+        text = " ".join([*(_FORMULAS[f].format(w=w) for f in wanted), *guards.values()]) + f" n_{w} "
         aggs += [f"{sql} OVER w{w} AS {a}_{w}" for a, sql in _AGGREGATES.items() if f"{a}_{w} " in text.replace(")", " ").replace(",", " ")]
         for f in wanted:
             formula = _FORMULAS[f].format(w=w)
-            guarded = formula if f == "volatility" else f"CASE WHEN n_{w} >= {MIN_TICKS} THEN {formula} END"
+            guarded = formula if f == "volatility" else f"CASE WHEN {guards[f]} >= {MIN_TICKS} THEN {formula} END"
             values.append(f"{guarded} AS {f}_{w}s")
     frames = ", ".join(
         f"w{w} AS (PARTITION BY symbol ORDER BY key RANGE BETWEEN {w * STEP - STEP // 2} PRECEDING AND CURRENT ROW)"
         for w in windows)
-    out = PREPARED + f""",
+    out = ticks + _PREPARE + f""",
 framed AS (SELECT *, {', '.join(aggs)} FROM prepared WINDOW {frames}),
-valued AS (SELECT tick_id, symbol, t, key, bid, ask, last, {', '.join(values)} FROM framed)"""
+valued AS (SELECT tick_id, symbol, t, key, bid, ask, last, {keep}{', '.join(values)} FROM framed)"""
     columns = [
         f"price_velocity_{w}s - lag(price_velocity_{w}s) OVER o AS acceleration_{w}s" if f == "acceleration" else f"{f}_{w}s"
         for w in windows for f in features]
     return out + f""",
-features AS (SELECT tick_id, symbol, t, key, last, {', '.join(columns)} FROM valued
+features AS (SELECT tick_id, symbol, t, key, last, {keep}{', '.join(columns)} FROM valued
   WINDOW o AS (PARTITION BY symbol ORDER BY key))"""
 
 

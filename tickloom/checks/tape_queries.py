@@ -219,15 +219,34 @@ def _register_feature(name: str) -> None:
 for _name in R.FEATURE_NAMES:
     _register_feature(_name)
 
-_FILLED = ["volatility_10s", "momentum_60s"]
+_ALL = R.feature_columns()
+_FFILL = "(PARTITION BY symbol ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _ffilled(columns: list[str]) -> str:
+    return ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER {_FFILL}, 0) AS {c}" for c in columns)
+
+
+@query("filled_features", f"""WITH {Q.features_ctes()}, filled AS (SELECT tick_id, {_ffilled(_ALL)} FROM features)
+SELECT tick_id, {sql_rounded(_ALL)} FROM filled""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_features(R.rolling_features(fx.ticks(spark, sf)), _ALL).select("tick_id", *rounded(_ALL))
+
+
+def _shown(columns: list[str]) -> list[F.Column]:
+    """Six decimals, or eight digits of the logarithm where a price of 1e12 is in the window."""
+    return [F.when(F.abs(c) < 1e6, F.round(c, 6)).otherwise(F.signum(c) * F.round(F.ln(F.abs(F.col(c))), 8)).alias(c) for c in columns]
+
+
+def _sql_shown(columns: list[str]) -> str:
+    return ", ".join(
+        f"CASE WHEN abs({c}) < 1e6 THEN round(CAST({c} AS DOUBLE), 6) ELSE sign({c}) * round(ln(abs(CAST({c} AS DOUBLE))), 8) END AS {c}" for c in columns)
 
 
-@query("filled_features", f"""WITH {Q.features_ctes(['momentum', 'volatility'], [10, 60])}
-SELECT tick_id, {', '.join(f"round(CAST(coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS DOUBLE), 6) AS {c}" for c in _FILLED)}
-FROM features""")
+@query("features_bad_prices", f"WITH {Q.features_ctes(ticks=Q.BAD_PRICES)} SELECT tick_id, symbol, {_sql_shown(_ALL)} FROM features")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    holed = R.rolling_features(fx.ticks(spark, sf), ["momentum", "volatility"], [10, 60])
-    return fill_features(holed, _FILLED).select("tick_id", *rounded(_FILLED))
+    """Bad prices and volumes count as missing, and a huge one is forgotten with its window."""
+    return R.rolling_features(fx.ticks_with_bad_prices(spark, sf)).select("tick_id", "symbol", *_shown(_ALL))
 
 
 @query("bar_context", f"""WITH {Q.BARS}, {Q.ATR}, {Q.context_cte()}
@@ -237,23 +256,32 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return J.with_bar_context(ticks, fx.bars(spark, sf)).select("tick_id", *rounded(J.BAR_CONTEXT))
 
 
-_ALL = R.feature_columns()
-_FFILL = "(PARTITION BY symbol ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-
-
 def _bars_from_ticks() -> str:
     return Q.BARS[len(Q.TICKS) + 1:]
 
 
 @query("tape_features", f"""WITH {Q.features_ctes()}, {_bars_from_ticks()}, {Q.ATR}, {Q.context_cte()},
 wide AS (SELECT f.*, {', '.join('c.' + c for c in Q.BAR_CONTEXT)} FROM features f JOIN context c USING (tick_id)),
-filled AS (SELECT tick_id, symbol, t, {', '.join(f"coalesce(last_value({c} IGNORE NULLS) OVER {_FFILL}, 0) AS {c}" for c in [*_ALL, *Q.BAR_CONTEXT])} FROM wide)
+filled AS (SELECT tick_id, symbol, t, {_ffilled([*_ALL, *Q.BAR_CONTEXT])} FROM wide)
 SELECT tick_id, symbol, t, {sql_rounded([*_ALL, *Q.BAR_CONTEXT])} FROM filled""")
 def tape_features(spark: SparkSession, sf: str) -> DataFrame:
     out = extract_features(fx.ticks(spark, sf), fx.bars(spark, sf))
     return out.select("tick_id", "symbol", t(), *rounded([*_ALL, *J.BAR_CONTEXT]))
 
 
+# Ticks with all their keys make the tape; the others stay, with nothing known.
+_PLACED = Q.HOLED.replace("ticks AS (\n  SELECT tick_id, symbol", "whole AS (\n  SELECT tick_id, symbol").replace("FROM ticks)", "FROM whole)") + """,
+ticks AS (SELECT tick_id, symbol, t, bid, ask, last, volume, row_id FROM holed WHERE tick_id IS NOT NULL AND symbol IS NOT NULL AND t IS NOT NULL)"""
+
+
+@query("tape_features_null_keys", f"""WITH {Q.features_ctes(ticks=_PLACED, keep='row_id, ')}, filled AS (SELECT row_id, {_ffilled(_ALL)} FROM features)
+SELECT h.row_id, h.symbol, {', '.join(f"round(coalesce(CAST({c} AS DOUBLE), 0), 6) AS {c}" for c in _ALL)}
+FROM holed h LEFT JOIN filled f ON f.row_id = h.row_id""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    out = extract_features(fx.ticks_with_null_keys(spark, sf), keep=["row_id"])
+    return out.select("row_id", "symbol", *rounded(_ALL))
+
+
 # --- bars -------------------------------------------------------------------------------
 
 
@@ -437,14 +465,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("tick_id", F.unix_seconds("bar_time").alias("bar_t"), *rounded(["range"]))
 
 
-_JOINED = ["momentum_60s", "buy_pressure_60s"]
-
-
-@query("join_features", Q.feature_query(["momentum", "buy_pressure"], [60]))
+@query("join_features", Q.feature_query(R.FEATURE_NAMES))
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature from one of four separate tables, as their makers group them."""
     ticks = fx.ticks(spark, sf)
-    sets = [R.rolling_features(ticks, [name], [60]) for name in ("momentum", "buy_pressure")]
-    return J.join_features(ticks.select("tick_id", "symbol"), *sets).select("tick_id", "symbol", *rounded(_JOINED))
+    names = R.FEATURE_NAMES
+    sets = [R.rolling_features(ticks, group) for group in (names[:5], names[5:10], names[10:16], names[16:])]
+    return J.join_features(ticks.select("tick_id", "symbol"), *sets).select("tick_id", "symbol", *rounded(_ALL))
 
 
 @query("resolve_symbols", """WITH wanted AS (SELECT DISTINCT event_type AS symbol FROM events),

@@ -1,14 +1,15 @@
-"""Features that count the rows of a window beyond a threshold of that window.
+"""Window values that no running total gives: counts beyond a threshold of the window, and moments of doubles.
 
 Every tick has its own threshold (near the window's extreme price, or three times
 its mean volume), so no running total answers it. Spark partitions and shuffles the
-ticks by (symbol, slice); inside a slice a small NumPy helper answers all windows at
-once in O(rows x log(distinct values)) instead of O(rows x window rows).
+ticks by (symbol, slice) and sorts them; a small NumPy helper follows the sorted rows and answers all windows at
+once in O(rows x log(distinct values)) instead of O(rows x window rows). It sees the columns it is about, and holds a batch and
+the rows of the longest window before it, whatever the length of a slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ LARGE_PRINT = 3
 LEVEL_MIN_TICKS = 5
 
 FEATURES = ("level_tests", "large_print_ratio")
+# Moments of which the squared deviations are wanted.
+SPREADING = ("ret", "spread")
 
 
 def count_at_least(values: np.ndarray, least: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -65,39 +68,113 @@ def range_max(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slice_counts(features: Sequence[str], windows: Sequence[int], min_ticks: int):
-    def compute(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_us", "tick_id"], ignore_index=True)
-        us, price = group["_us"].to_numpy(), group["last"].to_numpy()
-        volume = group["volume"].to_numpy()
-        total = np.concatenate(([0], np.cumsum(volume)))
-        hi = np.arange(1, len(us) + 1)
-        for w in windows:
-            lo = np.searchsorted(us, us - w * 1_000_000, side="right")
-            n = hi - lo
-            enough = n >= min_ticks
-            if "level_tests" in features:
-                top, bottom = range_max(price, lo, hi), -range_max(-price, lo, hi)
-                high = count_at_least(price, top * NEAR_HIGH, lo, hi)
-                low = count_at_least(-price, -(bottom * NEAR_LOW), lo, hi)
-                tests = np.where(n < LEVEL_MIN_TICKS, 0.0, np.maximum(high, low).astype(float))
-                group[f"level_tests_{w}s"] = pd.Series(tests).where(enough)
-            if "large_print_ratio" in features:
-                mean = (total[hi] - total[lo]) / n
+def range_moments(values: np.ndarray, ranges: Sequence[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """For each set of queries: count, mean and sum of squared deviations of ``values[lo:hi]`` without the missing ones.
+
+    Runs of 1, 2, 4, ... rows are joined, and queries from runs, always by adding, so that a value outside a range leaves no
+    trace in it.
+    """
+    there = ~np.isnan(values)
+    runs = there.astype(float), np.where(there, values, 0.0), np.zeros(len(values))
+    at = [lo.copy() for lo, _ in ranges]
+    out = [tuple(np.zeros(len(lo)) for _ in range(3)) for lo, _ in ranges]
+    longest = max((int((hi - lo).max()) for lo, hi in ranges if len(lo)), default=0)
+    step = 1
+    while step <= longest:
+        for k, (lo, hi) in enumerate(ranges):
+            take = np.flatnonzero((hi - lo) & step)
+            own = at[k][take]
+            for total, part in zip(out[k], _joined(tuple(o[take] for o in out[k]), tuple(r[own] for r in runs))):
+                total[take] = part
+            at[k][take] += step
+        if len(runs[0]) > step:
+            runs = _joined(tuple(r[:-step] for r in runs), tuple(r[step:] for r in runs))
+        step *= 2
+    return out
+
+
+def _joined(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    n = a[0] + b[0]
+    share, apart = b[0] / np.maximum(n, 1), b[1] - a[1]
+    return n, a[1] + apart * share, a[2] + b[2] + apart * apart * a[0] * share
+
+
+def _window_features(features: Sequence[str], moments: Sequence[str], windows: Sequence[int], min_ticks: int):
+    """Values of the rows from ``new`` on; the rows before are what their windows look back at."""
+
+    def compute(us: np.ndarray, columns: dict[str, np.ndarray], new: int) -> dict[str, np.ndarray]:
+        hi = np.arange(new + 1, len(us) + 1)
+        ranges = {w: (np.searchsorted(us, us[new:] - w * 1_000_000, side="right"), hi) for w in windows}
+        out = {}
+        for name in moments:
+            for w, (n, mean, dev) in zip(windows, range_moments(columns[name], list(ranges.values()))):
+                out |= {f"_n_{name}_{w}": n, f"_mean_{name}_{w}": np.where(n > 0, mean, np.nan), f"_dev_{name}_{w}": dev}
+        if "level_tests" in features:
+            price = columns["last"]
+            there = ~np.isnan(price)
+            seen = np.concatenate(([0], np.cumsum(there)))
+            up, down = np.where(there, price, -np.inf), np.where(there, -price, -np.inf)
+            for w, (lo, _) in ranges.items():
+                top, bottom = range_max(up, lo, hi), -range_max(down, lo, hi)
+                high = count_at_least(up, top * NEAR_HIGH, lo, hi)
+                low = count_at_least(down, -(bottom * NEAR_LOW), lo, hi)
+                tests = np.where(hi - lo < LEVEL_MIN_TICKS, 0.0, np.maximum(high, low).astype(float))
+                out[f"level_tests_{w}s"] = np.where(seen[hi] - seen[lo] >= min_ticks, tests, np.nan)
+        if "large_print_ratio" in features:
+            volume = columns["volume"]
+            shown = np.where(np.isnan(volume), -np.inf, volume)
+            for w, (n, mean, _) in zip(windows, range_moments(volume, list(ranges.values()))):
+                lo = ranges[w][0]
                 beyond = np.nextafter(mean * LARGE_PRINT, np.inf)  # strictly larger
-                large = count_at_least(volume.astype(float), beyond, lo, hi)
-                group[f"large_print_ratio_{w}s"] = pd.Series(large / n).where(enough)
-        return group
+                large = count_at_least(shown, beyond, lo, hi)
+                out[f"large_print_ratio_{w}s"] = np.where(n >= min_ticks, large / (hi - lo), np.nan)
+        return out
 
     return compute
 
 
-def add(rows: DataFrame, features: Sequence[str], windows: Sequence[int], min_ticks: int) -> DataFrame:
-    """Add the counted features to rows placed by ``rolling.with_history``."""
-    names = [f"{f}_{w}s" for w in windows for f in features]
-    schema = T.StructType(rows.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
-    counted = rows.groupBy("symbol", "_home").applyInPandas(
-        _slice_counts(features, windows, min_ticks), schema
-    )
+def _in_stretches(features: Sequence[str], moments: Sequence[str], names: Sequence[str], windows: Sequence[int], min_ticks: int, out: Sequence[str]):
+    """Histories one after the other, row 1 starting each; a task holds one batch and the rows its windows look back at."""
+    compute, reach = _window_features(features, moments, windows, min_ticks), max(windows) * 1_000_000
+
+    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        held = [np.empty(0, np.int64), *(np.empty(0) for _ in names)]
+        for number, us, *values in parts:
+            number, batch = number.to_numpy(np.int64), [us.to_numpy(np.int64), *(v.to_numpy(float) for v in values)]
+            found = {n: np.empty(len(number)) for n in out}
+            starts = np.flatnonzero(number == 1)
+            for a, b in zip([0, *starts], [*starts, len(number)]):
+                if a == b:
+                    continue
+                if number[a] == 1:
+                    held = [h[:0] for h in held]
+                held = [np.concatenate((h, x[a:b])) for h, x in zip(held, batch)]
+                for n, own in compute(held[0], dict(zip(names, held[1:])), len(held[0]) - (b - a)).items():
+                    if n in found:
+                        found[n][a:b] = own
+                recent = held[0] > held[0][-1] - reach
+                held = [h[recent] for h in held]
+            yield pd.DataFrame(found)
+
+    return run
+
+
+def add(
+    rows: DataFrame, number: str, features: Sequence[str], moments: Mapping[str, str], windows: Sequence[int], min_ticks: int
+) -> DataFrame:
+    """Add counted features, and ``_n_``, ``_mean_`` and ``_dev_`` columns of each of ``moments``, to sorted histories.
+
+    ``number`` counts the rows of a history in the order they lie in. It, the time and the
+    columns asked for go to Python and the values come back row by row; all other columns stay where they are.
+    """
+    values = dict(moments)
+    values |= {"last": "last"} if "level_tests" in features else {}
+    values |= {"volume": "volume"} if "large_print_ratio" in features else {}
+    out = [f"_{part}_{n}_{w}" for n in moments for w in windows for part in ("n", "mean", "dev") if part != "dev" or n in SPREADING]
+    out += [f"{f}_{w}s" for w in windows for f in features]
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in out])
+    count = F.pandas_udf(_in_stretches(features, list(moments), list(values), windows, min_ticks, out), schema)
+    counted = rows.withColumn("_counted", count(number, "_us", *[F.expr(f"cast({v} as double)") for v in values.values()]))
     # Arrow hands missing numbers back as NaN.
-    return counted.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    back = [f"if(isnan(_counted.{n}), null, _counted.{n}) as {n}" for n in out]
+    return counted.selectExpr(*rows.columns, *back)

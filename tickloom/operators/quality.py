@@ -134,16 +134,64 @@ def live_report(ticks: DataFrame, bars: DataFrame, bad_rows: DataFrame | None =
     )
 
 
+def _column_moments(columns: Sequence[str]):
+    """Per partition one row for each column; infinite values are counted and left out of the moments."""
+
+    def compute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = len(columns)
+        rows, n, up, down = 0, np.zeros(width), np.zeros(width, np.int64), np.zeros(width, np.int64)
+        mean, dev = np.zeros(width), np.zeros(width)
+        low, high = np.full(width, np.inf), np.full(width, -np.inf)
+        for part in parts:
+            values = part.to_numpy(float)
+            if not len(values):
+                continue
+            finite = np.isfinite(values)
+            rows, up, down = rows + len(values), up + np.isposinf(values).sum(axis=0), down + np.isneginf(values).sum(axis=0)
+            low = np.minimum(low, np.where(finite, values, np.inf).min(axis=0))
+            high = np.maximum(high, np.where(finite, values, -np.inf).max(axis=0))
+            # Mean and squared deviations of the batch, joined to those before.
+            count = finite.sum(axis=0)
+            own = np.where(finite, values, 0.0).sum(axis=0, dtype=np.longdouble) / np.maximum(count, 1)
+            around = (np.where(finite, values - own, 0.0) ** 2).sum(axis=0)
+            share, apart = count / np.maximum(n + count, 1), (own - mean).astype(float)
+            dev = dev + around.astype(float) + apart * apart * n * share
+            mean, n = mean + apart * share, n + count
+        if rows:
+            yield pd.DataFrame({
+                "feature": columns, "rows": rows, "n": n.astype(np.int64), "up": up, "down": down, "low": low, "high": high, "mean": mean, "dev": dev})
+
+    return compute
+
+
 def profile_features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per column: rows of the table, missing, infinite, min, max, mean and sample deviation. One pass."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value").withColumn("value", S.nan_to_null(F.col("value")))
-    return long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("value").isNull()).alias("missing_values"),
-        F.count_if(F.abs("value") == F.lit(float("inf"))).alias("infinite_values"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+    """Per column: rows of the table, missing, infinite, min, max, mean and sample deviation, and how many columns there are.
+
+    One pass: each partition reduces all columns at once to one row each, and these are joined around their common mean.
+    Not-a-number is missing. An infinite value is an extreme, makes the mean infinite (not a number with both signs) and
+    leaves no deviation.
+    """
+    found = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(
+        _column_moments(columns), "feature string, rows long, n long, up long, down long, low double, high double, mean double, dev double")
+    # Rows are columns times partitions.
+    of = Window.partitionBy("feature")
+    common = F.try_divide(F.sum(F.col("n") * F.col("mean")).over(of), F.sum("n").over(of))
+    step = F.col("mean") - F.col("common")
+    joined = found.withColumn("common", common).groupBy("feature").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("up").alias("up"), F.sum("down").alias("down"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.first("common").alias("common"), F.sum(F.col("dev") + F.col("n") * step * step).alias("dev"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    up, down, inf = F.col("up") > 0, F.col("down") > 0, F.lit(float("inf"))
+    seen = F.col("n") > 0
+    zero = F.lit(0).cast("long")
+    return names.join(joined, "feature", "left").select(
+        "feature", F.lit(len(columns)).cast("long").alias("total_features"), F.coalesce("rows", zero).alias("total_rows"),
+        F.coalesce(F.col("rows") - F.col("n") - F.col("up") - F.col("down"), zero).alias("missing_values"),
+        F.coalesce(F.col("up") + F.col("down"), zero).alias("infinite_values"),
+        F.when(down, -inf).when(seen, F.col("low")).when(up, inf).alias("min"),
+        F.when(up, inf).when(seen, F.col("high")).when(down, -inf).alias("max"),
+        F.when(up & down, F.lit(float("nan"))).when(up, inf).when(down, -inf).otherwise(F.col("common")).alias("mean"),
+        F.when(~up & ~down & (F.col("n") > 1), F.sqrt(F.col("dev") / (F.col("n") - 1))).alias("std"),
     )
 
 

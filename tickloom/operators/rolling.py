@@ -11,19 +11,28 @@ How it runs:
    those slices get a copy (the halo). Ticks are shuffled on (symbol, slice), so
    a hot symbol spreads over as many tasks as it has slices.
 2. Spark evaluates a sliding frame row by row over the whole frame, which costs
-   rows x frame length. Here every window is the difference of two growing
+   rows x frame length. Counts and sums of whole numbers are the difference of two growing
    frames instead, "all rows so far" and "all rows up to t - w", which Spark
-   updates in one pass. The first row of the window is the successor of the last
-   row at or before t - w. The extremes come from blocks of length w: a
+   updates in one pass and which are exact. The first row of the window is the successor of the last
+   row at or before t - w.
+   The extremes come from blocks of length w: a
    window meets two blocks at most, so its maximum is that of the tail of one
    block and the head of the next.
-3. All five window lengths share one shuffle and two sorts.
+3. Moments of doubles are never subtracted: one huge price would stay in
+   every later difference. They are joined from runs of 1, 2, 4, ... rows by adding; see ``counting``.
+4. All five window lengths share one shuffle and two sorts.
+
+Missing and bad values: a price or volume that is no finite number counts as missing at intake. A feature needs
+``min_ticks`` values of the column it is about (not just rows); differences with a missing end are null, sums, means and extremes leave it out, and a
+missing quote counts as changed. A tick without symbol, time or id has no place in a history: it stays,
+with null features, and is in no other tick's window.
 
 The formulas are Spark SQL text: over a hundred columns are built at once, and one
 parsed string is far cheaper to build than a tree of Python column calls.
 
 ``level_tests`` and ``large_print_ratio`` compare every row of a window with a
-threshold of that window, which no running total gives; see ``counting``.
+threshold of that window, which no running total gives; see ``counting``. What Python finds comes back as
+columns of the same rows, in one step for all features.
 """
 
 from __future__ import annotations
@@ -31,7 +40,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar as S
@@ -136,6 +145,7 @@ class Frame:
     seconds: int
     sums: set[str] = field(default_factory=set)
     heads: set[str] = field(default_factory=set)
+    moments: set[str] = field(default_factory=set)
     extremes: bool = False
 
     @property
@@ -160,9 +170,18 @@ class Frame:
         self.extremes = True
         return f"_min_{self.seconds}"
 
-    def std(self, total: str, squares: str, count: str) -> str:
-        s, q = self.sum(total), self.sum(squares)
-        return f"if({count} > 1, sqrt(greatest(({q} - {s} * {s} / {count}) / ({count} - 1), 0D)), null)"
+    def moment(self, name: str, part: str) -> str:
+        """``n``, ``mean`` or ``dev`` (sum of squared deviations) of a double."""
+        self.moments.add(name)
+        return f"_{part}_{name}_{self.seconds}"
+
+    def total(self, name: str, whole: bool) -> str:
+        """Sum of a column; of doubles by adding only."""
+        return self.sum(name) if whole else f"({self.moment(name, 'mean')} * {self.moment(name, 'n')})"
+
+    def std(self, name: str) -> str:
+        n, dev = self.moment(name, "n"), self.moment(name, "dev")
+        return f"if({n} > 1, sqrt({dev} / ({n} - 1)), null)"
 
     def per_second(self, value: str) -> str:
         return f"({value}) / {self.seconds}D"
@@ -174,57 +193,66 @@ def _or_one(value: str) -> str:
 
 # --- per-row values the windows add up ----------------------------------------------
 
-_SPREAD = "(ask - bid)"
+# Whole numbers: exact, so a window is the difference of two totals.
 _SUMS = {
     "dir": "cast(direction as bigint)",
     "up": "cast(direction > 0 as bigint)",
     "down": "cast(direction < 0 as bigint)",
     "volume": "volume",
-    "buy": "if(direction = 1, volume, 0)",
-    "sell": "if(direction = -1, volume, 0)",
-    "spread": _SPREAD,
-    "mid": "(bid + ask) / 2D",
-    "off": f"{_SPREAD} - _ref_spread",
-    "off2": f"({_SPREAD} - _ref_spread) * ({_SPREAD} - _ref_spread)",
-    "rets": "cast(_ret is not null as bigint)",
-    "ret": "coalesce(_ret, 0D)",
-    "ret2": "coalesce(_ret * _ret, 0D)",
+    "buy": "if(direction = 1, volume, volume * 0)",
+    "sell": "if(direction = -1, volume, volume * 0)",
     # The change of the first row of a window is always taken off again, so the
     # row before the window does not matter.
     "dir_chg": "coalesce(cast(direction != _prev_dir as bigint), 1)",
     "bid_chg": "coalesce(cast(bid != _prev_bid as bigint), 1)",
     "ask_chg": "coalesce(cast(ask != _prev_ask as bigint), 1)",
     "on_grid": f"coalesce(cast((last - _prev_last) % {S.TICK_SIZE}D = 0 as bigint), 0)",
+    "pair": "cast(last - _prev_last is not null as bigint)",
+    **{f"has_{c}": f"cast({c} is not null as bigint)" for c in ("direction", "last", "volume", "bid", "ask", "spread")},
+}
+# Doubles: moments by adding.
+_MOMENTS = {
+    "ret": "_ret", "spread": "spread", "mid": "(bid + ask) / 2D", "volume": "volume",
+    "buy": _SUMS["buy"], "sell": _SUMS["sell"],
 }
-_HEADS = {"us": "_us", "last": "last", **{n: _SUMS[n] for n in ("dir_chg", "bid_chg", "ask_chg", "on_grid")}}
+_HEADS = {"us": "_us", "last": "last", **{n: _SUMS[n] for n in ("dir_chg", "bid_chg", "ask_chg", "on_grid", "pair")}}
 
 # --- the features ------------------------------------------------------------------
 
-FEATURES: dict[str, Callable[[Frame], str]] = {
-    "tick_velocity": lambda f: f.per_second(f.n),
-    "price_velocity": lambda f: f.per_second(f"last - {f.first('last')}"),
-    "volatility": lambda f: f.std("ret", "ret2", f.sum("rets")),
-    "range_velocity": lambda f: f.per_second(f"{f.max} - {f.min}"),
-    "momentum": lambda f: f"cast({f.sum('dir')} as double)",
-    "trend_consistency": lambda f: (
+FEATURES: dict[str, Callable[[Frame, bool], str]] = {
+    "tick_velocity": lambda f, _: f.per_second(f.n),
+    "price_velocity": lambda f, _: f.per_second(f"last - {f.first('last')}"),
+    "volatility": lambda f, _: f.std("ret"),
+    "range_velocity": lambda f, _: f.per_second(f"{f.max} - {f.min}"),
+    "momentum": lambda f, _: f"cast({f.sum('dir')} as double)",
+    "trend_consistency": lambda f, _: (
         f"if({f.sum('up')} + {f.sum('down')} = 0, 0D, "
         f"greatest({f.sum('up')}, {f.sum('down')}) / ({f.sum('up')} + {f.sum('down')}))"),
-    "rejection_strength": lambda f: (
+    "rejection_strength": lambda f, _: (
         f"if({f.n} < 3 or {f.max} = {f.min}, 0D, 1D - abs(last - {f.first('last')}) / ({f.max} - {f.min}))"),
-    "directional_persistence": lambda f: (
+    "directional_persistence": lambda f, _: (
         f"if({f.n} < 2, 0D, 1D - ({f.sum('dir_chg')} - {f.first('dir_chg')} + 1) / {f.n})"),
-    "buy_pressure": lambda f: f"{f.sum('buy')} / {_or_one(f.sum('volume'))}",
-    "sell_pressure": lambda f: f"{f.sum('sell')} / {_or_one(f.sum('volume'))}",
-    "volume_imbalance": lambda f: f"({f.sum('buy')} - {f.sum('sell')}) / {_or_one(f.sum('volume'))}",
-    "volume_spike": lambda f: f"try_divide({f.sum('volume')}, _volume_mean)",
-    "volume_velocity": lambda f: f.per_second(f.sum("volume")),
-    "spread_normalized": lambda f: f"({f.sum('spread')} / {f.n}) / {_or_one(f.sum('mid') + ' / ' + f.n)}",
-    "spread_volatility": lambda f: f.std("off", "off2", f.n),
-    "bid_change_freq": lambda f: f.per_second(f"{f.sum('bid_chg')} - {f.first('bid_chg')} + 1"),
-    "ask_change_freq": lambda f: f.per_second(f"{f.sum('ask_chg')} - {f.first('ask_chg')} + 1"),
-    "avg_time_between_ticks": lambda f: f"if({f.n} < 2, 0D, (_us - {f.first('us')}) / 1e6D / ({f.n} - 1))",
-    "tick_size_adherence": lambda f: (
-        f"if({f.n} < 2, 1D, ({f.sum('on_grid')} - {f.first('on_grid')}) / ({f.n} - 1))"),
+    "buy_pressure": lambda f, whole: f"{f.total('buy', whole)} / {_or_one(f.total('volume', whole))}",
+    "sell_pressure": lambda f, whole: f"{f.total('sell', whole)} / {_or_one(f.total('volume', whole))}",
+    "volume_imbalance": lambda f, whole: (
+        f"({f.total('buy', whole)} - {f.total('sell', whole)}) / {_or_one(f.total('volume', whole))}"),
+    "volume_spike": lambda f, whole: f"try_divide({f.total('volume', whole)}, _volume_mean)",
+    "volume_velocity": lambda f, whole: f.per_second(f.total("volume", whole)),
+    "spread_normalized": lambda f, _: f"{f.moment('spread', 'mean')} / {_or_one(f.moment('mid', 'mean'))}",
+    "spread_volatility": lambda f, _: f.std("spread"),
+    "bid_change_freq": lambda f, _: f.per_second(f"{f.sum('bid_chg')} - {f.first('bid_chg')} + 1"),
+    "ask_change_freq": lambda f, _: f.per_second(f"{f.sum('ask_chg')} - {f.first('ask_chg')} + 1"),
+    "avg_time_between_ticks": lambda f, _: f"if({f.n} < 2, 0D, (_us - {f.first('us')}) / 1e6D / ({f.n} - 1))",
+    "tick_size_adherence": lambda f, _: (
+        f"coalesce(try_divide({f.sum('on_grid')} - {f.first('on_grid')}, {f.sum('pair')} - {f.first('pair')}), 1D)"),
+}
+# The column whose values ``min_ticks`` counts; rows for the others, nothing for volatility.
+_ABOUT = {
+    **dict.fromkeys(("price_velocity", "range_velocity", "rejection_strength", "tick_size_adherence"), "last"),
+    **dict.fromkeys(("momentum", "trend_consistency", "directional_persistence"), "direction"),
+    **dict.fromkeys(("buy_pressure", "sell_pressure", "volume_imbalance", "volume_spike", "volume_velocity"), "volume"),
+    **dict.fromkeys(("spread_normalized", "spread_volatility"), "spread"),
+    "bid_change_freq": "bid", "ask_change_freq": "ask",
 }
 # Change against the row before of another feature.
 CHANGES = {"acceleration": "price_velocity"}
@@ -245,6 +273,17 @@ def feature_columns(features: Sequence[str] = FEATURE_NAMES, windows: Sequence[i
     return [f"{f}_{w}s" for w in windows for f in features]
 
 
+def is_placed() -> Column:
+    """Whether a tick has a place in a history."""
+    return F.col("symbol").isNotNull() & F.col("time").isNotNull() & F.col("tick_id").isNotNull()
+
+
+def _finite(ticks: DataFrame) -> DataFrame:
+    """Prices and volumes that are no finite numbers as missing."""
+    doubles = [c for c, kind in ticks.dtypes if c in ("bid", "ask", "last", "volume") and kind in ("double", "float")]
+    return ticks.withColumns({c: S.finite_or_null(F.col(c)) for c in doubles}) if doubles else ticks
+
+
 def rolling_features(
     ticks: DataFrame,
     features: Sequence[str] = FEATURE_NAMES,
@@ -262,35 +301,49 @@ def rolling_features(
     unknown = set(features) - set(FEATURE_NAMES)
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
-    counted = [f for f in features if f in counting.FEATURES]
-    summed = [f for f in features if f not in counting.FEATURES]
-
     base = fill_defaults(ticks)
+    placed = placed_features(base.filter(is_placed()), features, windows, min_ticks, slice_seconds, keep, keep_slice)
+    # The others need no shuffle; the condition reaches the scan.
+    rest = base.filter(~is_placed()).select(
+        "tick_id", "symbol", "time", *keep, *([time_slice(slice_seconds).alias("_slice")] if keep_slice else []),
+        *[F.lit(None).cast("double").alias(c) for c in feature_columns(features, windows)])
+    return placed.unionByName(rest)
+
+
+def placed_features(
+    ticks: DataFrame, features: Sequence[str], windows: Sequence[int], min_ticks: int, slice_seconds: int,
+    keep: Sequence[str], keep_slice: bool,
+) -> DataFrame:
+    """``rolling_features`` of ticks that all have symbol, time and id."""
+    base = _finite(ticks)
     given = ["direction"] if "direction" in base.columns else []
     base = base.select("tick_id", "symbol", "time", "bid", "ask", "last", "volume", *given, *keep)
     rows = with_history(base, max(windows), slice_seconds=slice_seconds)
     if not given:
         rows = rows.withColumn("direction", S.sign(F.col("last") - F.col("_prev_last")))
-    if counted:
-        rows = counting.add(rows, counted, windows, min_ticks)
-    if summed:
-        rows = _add_summed(rows, summed, windows, min_ticks)
+    rows = _add_windows(rows, features, windows, min_ticks)
     home = [F.col(_HOME).alias("_slice")] if keep_slice else []
     return rows.filter(_OWN).select(
         "tick_id", "symbol", "time", *keep, *home, *feature_columns(features, windows)
     )
 
 
-def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int], min_ticks: int) -> DataFrame:
+def _add_windows(rows: DataFrame, features: Sequence[str], windows: Sequence[int], min_ticks: int) -> DataFrame:
+    whole = dict(rows.dtypes)["volume"] in ("bigint", "int", "smallint", "tinyint")
     frames = {w: Frame(w) for w in windows}
+    counted = [f for f in features if f in counting.FEATURES]
     wanted = dict.fromkeys([f for f in features if f in FEATURES] + [CHANGES[f] for f in features if f in CHANGES])
     columns = []
     for w, frame in frames.items():
         for name in wanted:
-            value = FEATURES[name](frame)
+            value = FEATURES[name](frame, whole)
             if name not in _UNGUARDED:
-                value = f"if({frame.n} >= {min_ticks}, {value}, null)"
-            columns.append(f"{value} as {name}_{w}s")
+                there = frame.sum(f"has_{_ABOUT[name]}") if name in _ABOUT else frame.n
+                value = f"if({there} >= {min_ticks}, {value}, null)"
+            columns.append(f"cast({value} as double) as {name}_{w}s")
+        if "volume_spike" in wanted:
+            frame.sums |= {"has_volume"} | ({"volume"} if whole else set())
+    moments = sorted(set().union(*(f.moments for f in frames.values())))
     sums = sorted(set().union(*(f.sums for f in frames.values())))
     heads = sorted(set().union(*(f.heads for f in frames.values())))
     extremes = [(m, w) for w, f in frames.items() if f.extremes for m in ("max", "min")]
@@ -306,14 +359,12 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
         return f"{column} div {w * 1_000_000}"
 
     # Newest first: extremes from here to the end of the block. Blocks come in falling
-    # order, so the extreme of (block, price) is the one of the block at hand.
+    # order, so the extreme of (block, price) is the one of the block at hand. A missing price is beaten by any other.
+    price = {"max": "coalesce(last, double('-infinity'))", "min": "coalesce(last, double('infinity'))"}
     back = []
     for m, w in extremes:
         order = f"-({block(w)})" if m == "max" else block(w)
-        back.append(f"{m}(struct({order} as b, last as v)) over ({newest_first} {grow}).v as _{m}_tail_{w}")
-    if "off" in sums:
-        # Any constant near the spreads keeps the squares small and exact zeros exact.
-        back.append(f"first({_SPREAD}) over ({newest_first} {grow}) as _ref_spread")
+        back.append(f"{m}(struct({order} as b, {price[m]} as v)) over ({newest_first} {grow}).v as _{m}_tail_{w}")
 
     # Oldest first: values of the row before.
     lags = [
@@ -322,7 +373,9 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
             ("direction", "_prev_dir", "dir_chg"), ("bid", "_prev_bid", "bid_chg"), ("ask", "_prev_ask", "ask_chg"),
         ) if total in sums
     ]
-    if "ret" in sums:
+    if "spread" in moments or "has_spread" in sums:
+        lags.append("ask - bid as spread")
+    if "ret" in moments:
         lags.append("try_divide(last - _prev_last, _prev_last) as _ret")
 
     # Running totals, extremes from the start of the block to here, and the next row.
@@ -330,7 +383,7 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
     running += [f"sum({_SUMS[n]}) over ({oldest_first} {grow}) as _c_{n}" for n in sums]
     for m, w in extremes:
         order = block(w) if m == "max" else f"-({block(w)})"
-        running.append(f"{m}(struct({order} as b, last as v)) over ({oldest_first} {grow}).v as _{m}_from_{w}")
+        running.append(f"{m}(struct({order} as b, {price[m]} as v)) over ({oldest_first} {grow}).v as _{m}_from_{w}")
     head_row = [f"{_HEADS[n]} as {n}" for n in heads]
     head_row += [f"_{m}_tail_{w} as {m}_{w}" for m, w in extremes]
     if head_row:
@@ -342,9 +395,14 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
     snapshot = ["_us as at", "tick_id as id", "_c_n as n", *[f"_c_{n} as {n}" for n in sums]]
     snapshot += ["_next as next"] if head_row else []
     far = [f"struct({', '.join(snapshot)}) as _snap"]
+    mean = []
     if "volume_spike" in wanted:
-        mean = f"_c_volume - coalesce(lag(_c_volume, {VOLUME_MEAN_ROWS}) over ({oldest_first}), 0)"
-        far.append(f"if(_rank >= {VOLUME_MEAN_MIN}, ({mean}) / least(_rank, {VOLUME_MEAN_ROWS}), null) as _volume_mean")
+        back_rows = VOLUME_MEAN_ROWS
+        far += [
+            f"_c_volume - coalesce(lag(_c_volume, {back_rows}) over ({oldest_first}), 0) as _recent_volume" if whole else
+            f"sum(volume) over ({oldest_first} rows between {back_rows - 1} preceding and current row) as _recent_volume",
+            f"_c_has_volume - coalesce(lag(_c_has_volume, {back_rows}) over ({oldest_first}), 0) as _volumes"]
+        mean = [f"if(_volumes >= {VOLUME_MEAN_MIN}, _recent_volume / _volumes, null) as _volume_mean"]
     lookups = [
         f"max(_snap) over ({part} order by _us range between unbounded preceding "
         f"and {w * 1_000_000} preceding) as _far_{w}"
@@ -355,7 +413,7 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
     inside = []
     for w in windows:
         inside.append(f"_c_n - coalesce(_far_{w}.n, 0) as _n_{w}")
-        inside += [f"_c_{n} - coalesce(_far_{w}.{n}, 0) as _sum_{n}_{w}" for n in sums if n in frames[w].sums]
+        inside += [f"coalesce(_c_{n}, 0) - coalesce(_far_{w}.{n}, 0) as _sum_{n}_{w}" for n in sums if n in frames[w].sums]
         if head_row:
             inside.append(f"if(_far_{w} is null, _start, _far_{w}.next) as _head_{w}")
     across = []
@@ -365,10 +423,17 @@ def _add_summed(rows: DataFrame, features: Sequence[str], windows: Sequence[int]
             f"if({block(w)} = {block(w, f'_head_{w}.us')}, _{m}_from_{w}, "
             f"{pick}(_{m}_from_{w}, _head_{w}.{m}_{w})) as _{m}_{w}")
 
+    # Python sees the rows as the running totals have sorted them, before they grow wide.
     out = rows
-    for step in (back, lags, running, far, lookups, inside, across, columns):
+    for step in (back, lags, running):
         if step:
             out = out.selectExpr("*", *step)
+    if counted or moments:
+        out = counting.add(out, "_c_n", counted, {n: _MOMENTS[n] for n in moments}, windows, min_ticks)
+    if wanted:
+        for step in (far, mean, lookups, inside, across, columns):
+            if step:
+                out = out.selectExpr("*", *step)
     changes = [
         f"{CHANGES[f]}_{w}s - lag({CHANGES[f]}_{w}s) over ({oldest_first}) as {f}_{w}s"
         for f in features if f in CHANGES for w in windows

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.joins import BAR_CONTEXT, with_bar_context
 from tickloom.operators.ordered import SLICE, SLICE_SECONDS, by_time, last_known_cut
-from tickloom.operators.rolling import FEATURE_NAMES, WINDOWS, feature_columns, rolling_features
+from tickloom.operators.rolling import FEATURE_NAMES, MIN_TICKS, WINDOWS, feature_columns, is_placed, placed_features
 from tickloom.operators.ticks import fill_defaults
 
 
@@ -25,15 +25,24 @@ def _clean(column: str) -> Column:
 def fill_features(df: DataFrame, columns: Sequence[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Infinite to 0, then the symbol's last known value, then 0.
 
-    The rows are dealt once by (symbol, slice); the last values of the slices and the rows
-    are both read from that shuffle.
+    A row without symbol or time has no place in a history: its own values alone count.
     """
     axis = by_time(seconds=slice_seconds)
-    return _filled(axis.cut(df), columns, slice_seconds).drop(SLICE)
+    cut = axis.cut(df)
+    rest = _or_zero(cut.filter(~axis.placed).withColumns({c: _clean(c) for c in columns}), columns)
+    return _filled(cut.filter(axis.placed), columns, slice_seconds).unionByName(rest).drop(SLICE)
 
 
 def _filled(cut: DataFrame, columns: Sequence[str], slice_seconds: int) -> DataFrame:
-    dealt = cut.repartition("symbol", SLICE)
+    """The rows are dealt once by (symbol, slice); the last values of the slices and the rows
+    are both read from that shuffle.
+
+    Its number of partitions differs from every other shuffle's: rows that already lie by (symbol, slice) would
+    stay where they are otherwise, without a shuffle to read twice, and all that comes before would run twice. Spark
+    sees that both readings are of one shuffle where the sources are files or tables; rows made on the driver it reads twice.
+    """
+    partitions = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    dealt = cut.repartition(partitions, "symbol", SLICE)
     return _or_zero(last_known_cut(dealt, {c: _clean(c) for c in columns}, by_time(seconds=slice_seconds)), columns)
 
 
@@ -44,21 +53,22 @@ def extract_features(
     windows: Sequence[int] = WINDOWS,
     closed_bars_only: bool = False,
     slice_seconds: int = SLICE_SECONDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """All features of every tick on one frame, filled.
 
     Bar context goes along as columns, so it needs no join. The windows run once: their
     result is dealt by (symbol, slice) again, and the fill takes both the last values of each slice and
-    the rows from that one shuffle.
+    the rows from that one shuffle. A tick without symbol, time or id has no place in a history: it stays, and
+    all its features are 0. ``keep`` names tick columns to pass through.
     """
     base = fill_defaults(ticks)
-    context: tuple[str, ...] = ()
+    given = ["direction"] if "direction" in base.columns else []
+    base = base.select("tick_id", "symbol", "time", "bid", "ask", "last", "volume", *given, *keep)
+    placed, context = base.filter(is_placed()), ()
     if bars is not None:
-        needed = ["tick_id", "symbol", "time", "bid", "ask", "last", "volume"]
-        if "direction" in base.columns:
-            needed.append("direction")
-        base = with_bar_context(base.select(*needed), bars, closed_bars_only, slice_seconds)
-        context = BAR_CONTEXT
-    wide = rolling_features(base, features, windows, keep=context, keep_slice=True, slice_seconds=slice_seconds)
+        placed, context = with_bar_context(placed, bars, closed_bars_only, slice_seconds), BAR_CONTEXT
+    wide = placed_features(placed, features, windows, MIN_TICKS, slice_seconds, [*keep, *context], keep_slice=True)
     columns = [*feature_columns(features, windows), *context]
-    return _filled(wide, columns, slice_seconds).drop(SLICE)
+    rest = base.filter(~is_placed()).select("tick_id", "symbol", "time", *keep, *[F.lit(0.0).alias(c) for c in columns])
+    return _filled(wide, columns, slice_seconds).drop(SLICE).unionByName(rest)

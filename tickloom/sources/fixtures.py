@@ -69,6 +69,19 @@ def ticks_with_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def ticks_with_bad_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tape where every 101st tick has a price that is infinite, no number, missing or huge; some also lack the volume."""
+    kind = F.when(F.col("tick_id") % 101 == 0, F.expr("tick_id div 101 % 8"))
+    bad = lambda column, values: F.coalesce(
+        *[F.when(kind == k, F.lit(v)) for k, v in values.items() if v is not None],
+        F.when(~F.coalesce(kind.isin(*[k for k, v in values.items() if v is None]), F.lit(False)), F.col(column)))
+    inf, nan = float("inf"), float("nan")
+    return ticks(spark, sf_dir).withColumns({
+        "bid": bad("bid", {0: inf, 4: None, 6: 1e12}), "ask": bad("ask", {1: nan, 5: -inf}),
+        "last": bad("last", {2: inf, 3: nan, 5: None, 7: 1e12}), "volume": bad("volume", {4: None}),
+    })
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_ops.minute_bars(ticks(spark, sf_dir))
 
