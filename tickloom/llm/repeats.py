@@ -329,6 +329,7 @@ def _chunk(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
 
 def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
     """The same for samples of frequent grams: every window is grouped by its own bytes."""
+    rows = stored(rows, "hot-samples")  # read twice
     plain = rows.where("context IS NULL").select("place", "tie", "start", (F.col("start") + F.col("sample") + (length - 1)).alias("end"))
     windows = stored(
         rows.where("context IS NOT NULL").select(
