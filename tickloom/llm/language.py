@@ -52,7 +52,7 @@ WORD = re.compile(r"[^\W\d_]+")
 SCRIPT_SHARE = 0.01
 #: Scores of scripts a language does not use, and the least share a language can have of a word.
 _OUTSIDE, _LEAST = math.log(1e-6), 1e-4
-_KEPT_WORDS = 400_000
+_KEPT_WORDS = 150_000
 
 
 def script_of(word: str) -> str:
@@ -186,7 +186,7 @@ def viterbi(rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, switch_pr
     """
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     stays = np.empty((len(rows), scores.shape[1]), bool)
-    best = np.empty(len(rows), np.int8)
+    best = np.empty(len(rows), np.int32)
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
     value = scores[rows[starts]].astype(np.float64)
     for t in range(1, lengths[0]):
@@ -198,7 +198,7 @@ def viterbi(rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, switch_pr
         best[at] = top
         stays[at] = v >= switch
         value[:k] = np.maximum(v, switch) + scores[rows[at]]
-    labels = np.empty(len(rows), np.int8)
+    labels = np.empty(len(rows), np.int32)
     now = value.argmax(axis=1)
     for t in range(lengths[0] - 1, -1, -1):
         k = active[t]
@@ -261,7 +261,7 @@ def with_language(
     return docs.mapInArrow(run, docs.schema)
 
 
-def _pieces(column: pa.Array, most_chars: int = 32_000_000) -> Iterator[list[str]]:
+def _pieces(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str]]:
     """Texts in order, in lists of a bounded size (or of one text)."""
     piece, size = [], 0
     for value in column:
