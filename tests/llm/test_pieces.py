@@ -57,3 +57,20 @@ def test_edges(spark):
     assert len(got) == len(rows) and all(r["decoded"] == (r["text"] or "") for r in got)
     assert [r["ids"] for r in got if r["id"] == 1] == [[]]
     assert op.decode(op.encode(frame(spark, []))).count() == 0
+
+
+def test_pairs_side_by_side_equal_the_merges():
+    """The backward reading of two merge trees against the merge procedure itself."""
+    with open(op.default_model(), "rb") as file:
+        model = op.PieceModel(file.read())
+    assert model.in_turn[model.ids].mean() > 0.9
+    draw = np.random.default_rng(5)
+    short = model.ids[model.lengths <= 4]
+    left, right = draw.choice(short, 20_000), draw.choice(short, 20_000)
+    # Pairs that a merge crosses: the two sides of vocabulary strings.
+    cut = [(model.rank[t[:k]][1], model.rank[t[k:]][1]) for t in list(model.rank)[:9000] for k in range(1, len(t)) if t[:k] in model.rank and t[k:] in model.rank]
+    usable = set(model.ids.tolist())
+    cut = np.array([p for p in cut if p[0] in usable and p[1] in usable])
+    left, right = np.concatenate((left, cut[:, 0])), np.concatenate((right, cut[:, 1]))
+    want = [model.merge(model.text(a) + model.text(b)) == [model.text(a), model.text(b)] for a, b in zip(left.tolist(), right.tolist())]
+    assert model.side_by_side(left, right).tolist() == want and 0 < sum(want) < len(want)

@@ -68,6 +68,66 @@ class PieceModel:
         pairs = {t[k:k + 2] for t in longer for k in range(len(t) - 1)}
         self.meets[[self.number[ord(p[0])] for p in pairs], [self.number[ord(p[1])] for p in pairs]] = True
 
+        self._trees()
+
+    def _trees(self) -> None:
+        """What the last merge of each usable piece joins, and every pair of pieces that makes a piece."""
+        size = len(self.texts)
+        # A piece's turn: single characters are there from the start, others come by falling score.
+        order = sorted((t for t in self.rank if len(t) > 1), key=lambda t: (-self.rank[t][0], self.rank[t][1]))
+        self.turn = np.full(size + 1, -1, np.int64)
+        for turn, t in enumerate(order):
+            self.turn[self.rank[t][1]] = turn
+        self.first, self.second = np.arange(size + 1), np.arange(size + 1)
+        # Whether all merges that make a piece come in the order of their turns.
+        self.in_turn = np.ones(size + 1, bool)
+        for i in sorted(self.ids.tolist(), key=lambda i: len(self.texts[i])):
+            t = self.texts[i]
+            if len(t) > 1:
+                a, b = (self.rank[p][1] for p in self.merge(t, 2))
+                self.first[i], self.second[i] = a, b
+                self.in_turn[i] = max(self.turn[a], self.turn[b]) < self.turn[i] and self.in_turn[a] and self.in_turn[b]
+        pairs = {}
+        for t in order:
+            for cut in range(1, len(t)):
+                a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
+                if a and b:
+                    pairs[a[1] << 32 | b[1]] = self.turn[self.rank[t][1]]
+        self.joins = np.array(sorted(pairs), np.int64)
+        self.joined_turn = np.array([pairs[k] for k in self.joins.tolist()], np.int64)
+
+    def side_by_side(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether each pair of pieces encodes to itself, that is, whether no merge across the pair comes before it is whole.
+
+        Read backwards: the piece that was made last is taken apart again, and the parts that then meet must not
+        make a piece whose turn is before that of what was taken apart (left of two equal turns first). Pieces made out of
+        turn, mostly runs of one character, go through the merges.
+        """
+        size = len(self.texts)
+        a, b = np.minimum(left, size), np.minimum(right, size)
+        fits, plain = np.ones(len(a), bool), self.in_turn[a] & self.in_turn[b]
+        for i in np.flatnonzero(~plain).tolist():
+            x, y = self.text(int(left[i])), self.text(int(right[i]))
+            fits[i] = self.merge(x + y) == [x, y]
+        open_ = np.flatnonzero(plain)
+        limit = np.full(len(a), np.iinfo(np.int64).max)
+        while len(open_):
+            x, y = a[open_], b[open_]
+            key = x << 32 | y
+            at = np.minimum(np.searchsorted(self.joins, key), len(self.joins) - 1)
+            across = (self.joins[at] == key) & (self.joined_turn[at] < limit[open_])
+            fits[open_[across]] = False
+            turn_a, turn_b = self.turn[x], self.turn[y]
+            more = ~across & ((turn_a >= 0) | (turn_b >= 0))
+            open_, x, y, turn_a, turn_b = open_[more], x[more], y[more], turn_a[more], turn_b[more]
+            later = turn_a > turn_b
+            limit[open_] = np.where(later, turn_a, turn_b + 1)
+            a[open_], b[open_] = np.where(later, self.second[x], x), np.where(later, y, self.first[y])
+        return fits
+
+    def text(self, piece: int) -> str:
+        return self.texts[piece] if piece < len(self.texts) else chr(piece - len(self.texts))
+
     def _chunk_pattern(self) -> re.Pattern:
         longer = [t for t in self.rank if len(t) > 1]
         alone = "".join(c for c in "\n\t" if not any(c in t for t in longer))
@@ -75,15 +135,16 @@ class PieceModel:
             return re.compile(rf"[^{alone}]+|[{alone}]" if alone else r"(?s).+")
         return re.compile(rf"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
 
-    def merge(self, text: str) -> list[str]:
-        """The merge procedure on a short text: best pair first, leftmost of equals."""
+    def merge(self, text: str, until: int = 1) -> list[str]:
+        """The merge procedure on a short text, down to ``until`` parts: best pair first, leftmost of equals."""
         parts = list(text)
-        while True:
+        while len(parts) > until:
             pairs = [(-self.rank[a + b][0], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank]
             if not pairs:
                 return parts
             _, i = min(pairs)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
 
 class Decoder:
@@ -164,6 +225,10 @@ class Encoder:
         self.numbers = list(range(len(model.texts)))
         self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
 
+    def forget(self) -> None:
+        """Drop what was kept between batches, but for the pairs."""
+        self.known, self.older, self.parts = {}, {}, {}
+
     def __call__(self, texts: list[str]) -> list[list[int]]:
         if len(self.known) > _KEPT_CHUNKS:
             self.known, self.older = {}, self.known
@@ -260,7 +325,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
         missing = keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys
         if len(missing):
-            answers = np.fromiter((self._pair(int(k >> 32), int(k & 0xFFFFFFFF)) for k in missing.tolist()), bool, len(missing))
+            answers = self.model.side_by_side(missing >> 32, missing & 0xFFFFFFFF)
             if len(self.pair_keys) > _KEPT_PAIRS:
                 self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
                 return self._fit(left, right)
@@ -270,17 +335,6 @@ class Encoder:
             at = np.searchsorted(self.pair_keys, keys)
         return self.pair_fits[at][back]
 
-    def _pair(self, left: int, right: int) -> bool:
-        a, b = self._text(left), self._text(right)
-        number = self.model.number
-        if not self.model.meets[number[ord(a[-1])], number[ord(b[0])]]:
-            return True
-        return self.model.merge(a + b) == [a, b]
-
-    def _text(self, piece: int) -> str:
-        size = len(self.model.texts)
-        return self.model.texts[piece] if piece < size else chr(piece - size)
-
     def _read_back(self, edge, starts, piece, begins, sizes) -> list[tuple[int, ...]]:
         """Ids of every chunk, from its end back to its begin, all chunks a step at a time."""
         found_chunk, found_piece = [], []
@@ -308,7 +362,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def _encoder(model: bytes) -> Encoder:
-    """One for all tasks of a worker, which go on with what the last has found."""
+    """One for all tasks of a worker, which go on with the pairs the last has found."""
     return Encoder(PieceModel(model))
 
 
@@ -333,6 +387,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(encoder(texts), pa.list_(pa.int32()))], names=["id", "text", "ids"]
                 )
+        encoder.forget()  # the worker may go on with another stage
 
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(
         run, f"id {kind}, text string, ids array<int>"
