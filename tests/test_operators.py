@@ -222,19 +222,6 @@ def test_range_filter_reaches_folders(spark, random_tape):
     assert out.count() == len(want) > 0
 
 
-def test_sent_ticks_over_many_batches(spark, random_tape):
-    source, out = scratch_path(spark, "in"), scratch_path(spark, "sent")
-    full = frame(spark, random_tape).withColumns({
-        "time_msc": F.lit(0).cast("long"), "flags": F.lit(0), "volume_real": F.lit(1.0), "date": F.to_date("time")})
-    # One file per arrival range and one file per batch, oldest file first.
-    for lo in range(0, 300, 100):
-        full.filter(F.col("tick_id").between(lo, lo + 99)).coalesce(1).write.mode("append").parquet(source)
-    stream = tables.stream_ticks(spark, source, files_per_batch=1)
-    live.send_ticks(stream, out, scratch_path(spark, "ckpt"), live.CATCH_UP).awaitTermination()
-    want = K.sent_direction(K.newer_only(full, by_arrival()), by_arrival())
-    assert sorted(rows(spark.read.parquet(f"{out}/sent"), "tick_id", "direction")) == sorted(rows(want, "tick_id", "direction"))
-
-
 def test_profile_of_odd_values(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1.0, inf, None, 7.0, inf), (3.0, 2.0, None, 7.0, -inf), (None, nan, nan, 7.0, 1.0), (5.0, None, None, 7.0, None)]

@@ -219,6 +219,20 @@ for _code in _NAMES:
     _register_encode(_code)
 
 
+@query("encode_null_fields", f"""WITH {Q.MESSAGES} SELECT msg_id, '{{"type":4,"timestamp":' || coalesce('"' || CASE WHEN msg_id % 2 = 0 THEN {_STAMP} END || '"', 'null')
+  || ',"symbol":' || CASE WHEN msg_id % 3 = 0 THEN 'null' ELSE '"' || symbol || '"' END || ',"operation":' || direction + 1
+  || ',"volume":' || CASE WHEN msg_id % 5 = 0 THEN 'null' ELSE msg_id || '' END || ',"price":' || CASE WHEN msg_id % 7 < 4 THEN 'null' ELSE printf('%.8f', value) END
+  || ',"sl":' || printf('%.8f', value - 1) || ',"tp":' || printf('%.8f', value + 2) || ',"comment":null,"magic":' || msg_id || '}}' AS line FROM messages""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Missing values, and prices that are no finite numbers, are written as null."""
+    i = F.col("msg_id")
+    odd = F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 7 == 1, F.lit(float("inf"))).when(i % 7 == 2, F.lit(float("-inf"))).when(i % 7 > 3, F.col("price"))
+    fields = message_fields(fx.messages(spark, sf)).withColumns({
+        "sent_at": F.when(i % 2 == 0, F.col("sent_at")), "symbol": F.when(i % 3 != 0, F.col("symbol")), "volume": F.when(i % 5 != 0, F.col("volume")),
+        "price": odd, "comment": F.lit(None).cast("string")})
+    return M.encode(fields, 4).select("msg_id", F.col("value").alias("line"))
+
+
 @query("decode_messages", f"""WITH {Q.MESSAGES} SELECT msg_id, CAST(4 AS INTEGER) AS type, symbol, CAST(direction + 1 AS INTEGER) AS operation,
   round(value, 8) AS price, 'say "' || symbol || '"\\' || chr(10) || chr(9) AS comment, msg_id AS magic FROM messages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
@@ -235,11 +249,14 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return M.decode_signals(responses.unionByName(others).select("msg_id", "value"))
 
 
-@query("match_signals", f"""WITH {Q.MESSAGES}, pairs AS (SELECT q.msg_id, p.msg_id AS response_id, p.direction, p.confidence,
+MATCH_SQL = f"""WITH {Q.MESSAGES}, pairs AS (SELECT q.msg_id, p.msg_id AS response_id, p.direction, p.confidence,
     row_number() OVER (PARTITION BY q.msg_id ORDER BY p.us, p.msg_id) AS r
   FROM messages q JOIN messages p ON p.type = 3 AND p.symbol = q.symbol AND p.us > q.us AND p.us <= q.us + 1000000 WHERE q.type = 2)
 SELECT q.msg_id, q.symbol, p.response_id, CAST(p.direction AS INTEGER) AS direction, p.confidence, p.response_id IS NULL AS timed_out
-FROM messages q LEFT JOIN pairs p ON p.msg_id = q.msg_id AND p.r = 1 WHERE q.type = 2""")
+FROM messages q LEFT JOIN pairs p ON p.msg_id = q.msg_id AND p.r = 1 WHERE q.type = 2"""
+
+
+@query("match_signals", MATCH_SQL)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     m = fx.messages(spark, sf)
     return J.match_signals(m.filter(F.col("type") == 2), m.filter(F.col("type") == 3)).drop("time")

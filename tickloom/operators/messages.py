@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def _json_field(df: DataFrame, name: str) -> Column:
         finite = F.abs(F.col(name)) < F.lit(float("inf"))
         text = F.when(finite, F.format_string(DOUBLE_FORMAT, F.col(name)))
     elif kind == "string":
-        text = F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+        quoted = F.regexp_extract(F.to_json(F.struct(F.col(name).alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+        text = F.when(F.col(name).isNotNull(), quoted)
     else:
         text = F.col(name).cast("string")
     return F.concat(F.lit(f'"{name}":'), F.coalesce(text, F.lit("null")))
@@ -77,8 +80,9 @@ def type_label(code: Column) -> Column:
 
 
 def route(messages: DataFrame) -> dict[str, DataFrame]:
-    """One DataFrame per message kind."""
-    return {label: messages.filter(F.col("type") == code) for code, label in MESSAGE_TYPES.items()}
+    """One DataFrame per message kind, and ``unknown``. Where the table has a ``kind``, that is what its folders are named by."""
+    kind = F.col("kind") if "kind" in messages.columns else type_label(F.col("type"))
+    return {label: messages.filter(kind == label) for label in (*MESSAGE_TYPES.values(), "unknown")}
 
 
 def message_stats(messages: DataFrame) -> DataFrame:
@@ -96,13 +100,13 @@ def message_stats(messages: DataFrame) -> DataFrame:
 
 def heartbeat_gaps(
     beats: DataFrame, as_of: Column, limit_seconds: int = HEARTBEAT_LIMIT_SECONDS,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int = SLICE_SECONDS, keys: Sequence[str] = (),
 ) -> DataFrame:
     """Each heartbeat with the seconds to the next one (the last one: to ``as_of``) and
-    whether the connection counts as lost in between."""
+    whether the connection counts as lost in between. ``keys`` names a connection; without, all are one."""
     # Newest first, so "the row before" is the next heartbeat.
     axis = Axis(
-        -time_slice(slice_seconds), ("_back", "_back_id"), (), position(F.col("_back"), F.col("_back_id")))
+        -time_slice(slice_seconds), ("_back", "_back_id"), tuple(keys), position(F.col("_back"), F.col("_back_id")))
     keyed = beats.withColumns({
         "_back": -F.unix_micros("time"), "_back_id": -F.col("msg_id"), "_t": F.unix_micros("time")})
     out = previous(keyed, {"_after": F.col("_t")}, axis)
@@ -112,16 +116,16 @@ def heartbeat_gaps(
 
 
 def live_spans(
-    beats: DataFrame, limit_seconds: int = HEARTBEAT_LIMIT_SECONDS, slice_seconds: int = SLICE_SECONDS
+    beats: DataFrame, limit_seconds: int = HEARTBEAT_LIMIT_SECONDS, slice_seconds: int = SLICE_SECONDS, keys: Sequence[str] = ()
 ) -> DataFrame:
     """Spans of heartbeats with no gap beyond the limit.
 
     A keyless session window would run in one task; a running count of span starts
     does not.
     """
-    axis = by_time(keys=(), order=("time", "msg_id"), seconds=slice_seconds)
-    spaced = previous(beats.select("time", "msg_id"), {"_before": F.unix_micros("time")}, axis)
+    axis = by_time(keys=keys, order=("time", "msg_id"), seconds=slice_seconds)
+    spaced = previous(beats.select(*keys, "time", "msg_id"), {"_before": F.unix_micros("time")}, axis)
     starts = F.col("_before").isNull() | (F.unix_micros("time") - F.col("_before") > limit_seconds * 1_000_000)
     numbered = running(spaced.withColumn("_starts", starts.cast("long")), axis, sums={"span": F.col("_starts")})
-    return numbered.groupBy("span").agg(
+    return numbered.groupBy(*keys, "span").agg(
         F.min("time").alias("since"), F.max("time").alias("until"), F.count(F.lit(1)).alias("beats"))

@@ -34,12 +34,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write to the shared folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

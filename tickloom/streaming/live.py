@@ -1,4 +1,4 @@
-"""Live ingestion: bars, statistics, sinks, sent ticks and bad-row routing.
+"""Live ingestion: bars, statistics, sinks, late rows, bad rows and messages by kind.
 
 Every job takes ``trigger`` as the keyword arguments of ``DataStreamWriter.trigger``.
 Sinks written per batch use one folder per batch id and overwrite it, so a batch
@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tickloom.functions import scalar as S
+from tickloom.operators import messages as M
 from tickloom.operators.bars import minute_bar_columns
-from tickloom.operators.ordered import by_arrival
-from tickloom.operators.ticks import newer_only, sent_direction
+from tickloom.schemas import MESSAGE
+from tickloom.sources.tables import read_version, replace_version
 
 # Flush and statistics cadence.
 HOURLY: Mapping[str, object] = {"processingTime": "1 hour"}
@@ -85,17 +87,41 @@ def write_live_bars(
 def write_live_stats(
     ticks: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = EACH_SECOND
 ) -> StreamingQuery:
-    """Changed rows of each batch under ``path/batch_id=<n>``; ``latest_stats`` reads them."""
+    """The statistics of every symbol as a table that each batch replaces; ``latest_stats`` reads it."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        replace_version(batch, path, batch_id)
 
-    return _each_batch(live_stats(ticks), write, checkpoint, trigger, "update")
+    return _each_batch(live_stats(ticks), write, checkpoint, trigger, "complete")
 
 
-def latest_stats(written: DataFrame) -> DataFrame:
-    """The newest row of each symbol out of what ``write_live_stats`` wrote."""
-    values = ["total_ticks", "last_tick_time", "avg_spread"]
-    return written.groupBy("symbol").agg(*[F.max_by(v, "batch_id").alias(v) for v in values])
+def latest_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The statistics of the last batch that was written to its end."""
+    return read_version(spark, path)
+
+
+def split_late_rows(
+    ticks: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = HOURLY, delay: str = DEFAULT_DELAY
+) -> StreamingQuery:
+    """Ticks that a bar can still take to the folder ``used``, the others to ``late``.
+
+    A tick is late where the watermark, ``delay`` before the latest time of all earlier batches, has reached the end of its minute:
+    a stream of bars would drop it without a word. The latest time is a table of one row that each batch replaces. ``live_bars``
+    over ``used`` loses nothing, and used and late rows are all rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = f"{path}/seen"
+        before = read_version(spark, seen, batch_id) if batch_id else spark.createDataFrame([(None,)], "seen timestamp")
+        latest = before.first()["seen"]
+        end = F.timestamp_seconds((F.floor(F.unix_micros("time") / 60_000_000) + 1) * 60)
+        late = F.lit(False) if latest is None else F.coalesce(end <= F.lit(latest) - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        marked = batch.withColumn("late", late).persist()
+        for folder, wanted in (("used", ~F.col("late")), ("late", F.col("late"))):
+            marked.filter(wanted).drop("late").write.mode("overwrite").parquet(f"{path}/{folder}/batch_id={batch_id}")
+        replace_version(marked.agg(F.max("time").alias("seen")).unionByName(before).agg(F.max("seen").alias("seen")), seen, batch_id)
+        marked.unpersist()
+
+    return _each_batch(ticks, write, checkpoint, trigger)
 
 
 def flush(
@@ -131,32 +157,23 @@ def split_bad_rows(
     return _each_batch(ticks, write, checkpoint, trigger)
 
 
-def send_ticks(
-    ticks: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = EACH_SECOND
+def route_messages(
+    lines: DataFrame, path: str, checkpoint: str, trigger: Mapping[str, object] = EACH_SECOND
 ) -> StreamingQuery:
-    """Strictly newer ticks with their direction against the last one sent.
+    """JSON lines to one table of each message kind.
 
-    Each batch runs the batch operators, which spread a hot symbol over its arrival
-    blocks. What the next batch needs (latest time and last price per symbol) is a
-    table of one row per symbol, written with the batch id in the shared folder.
+    A batch is decoded once and written in one job, into folders by kind under that of the batch, so either all kinds have the batch
+    or none. Lines that cannot be read, and unknown types, go to the kind ``unknown`` with their text.
     """
-    state_path = f"{path}/state"
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        axis = by_arrival()
-        if batch_id == 0:
-            state = spark.createDataFrame([], "symbol string, _floor timestamp, _price double")
-        else:
-            state = spark.read.parquet(f"{state_path}/batch_id={batch_id - 1}")
-        kept = newer_only(batch.join(state, "symbol", "left"), axis, F.col("_floor"))
-        sent = sent_direction(kept, axis, F.col("_price")).drop("_floor", "_price")
-        target = f"{path}/sent/batch_id={batch_id}"
-        sent.write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target).groupBy("symbol").agg(
-            F.max("time").alias("_floor"), F.max_by("last", "tick_id").alias("_price"))
-        merged = state.unionByName(written).groupBy("symbol").agg(
-            F.max("_floor").alias("_floor"), F.max_by("_price", "_floor").alias("_price"))
-        merged.write.mode("overwrite").parquet(f"{state_path}/batch_id={batch_id}")
+        kinds = M.decode(batch).select(M.type_label(F.col("m.type")).alias("kind"), "m.*", F.col("value").alias("line"))
+        kinds.withColumn("line", F.when(F.col("kind") == "unknown", F.col("line"))).write.mode("overwrite").partitionBy("kind").parquet(
+            f"{path}/batch_id={batch_id}")
 
-    return _each_batch(ticks, write, checkpoint, trigger)
+    return _each_batch(lines, write, checkpoint, trigger)
+
+
+def routed_messages(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of ``route_messages`` by kind; each reads its own folders alone."""
+    schema = T.StructType([*MESSAGE.fields, T.StructField("line", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("batch_id", T.LongType())])
+    return M.route(spark.read.schema(schema).parquet(path))
