@@ -56,3 +56,23 @@ def test_edges(spark):
     assert len(got) == len(rows) and {r["n_base"] for r in got} == {0}
     assert {r["n_words"] for r in got if r["id"] in (1, 2, 3)} == {0}
     assert op.summary(op.scan(frame(spark, []))).count() == 0
+
+
+def test_an_edited_notice_beside_a_clean_one(spark):
+    search = op.NoticeSearch(op.PHRASES, op.NOTICES)
+    for text, label in (("apache licence apache license foo", "apache"), ("mozila publik license mozilla public license", "mpl"),
+                        ("mit license mit licens mit lcense mit license", "mit")):
+        spans = [(first, last, edits) for own, first, last, edits, _ in search(text)[2] if own == label]
+        n = len(text.split()) // (3 if label == "mpl" else 2)
+        assert len({s[:2] for s in spans}) == n, (text, spans)
+
+
+def test_a_text_of_many_notices_takes_linear_time():
+    import time
+
+    search = op.NoticeSearch(op.PHRASES, op.NOTICES)
+    text = "released under the mit licence by all " * 32_000
+    start = time.perf_counter()
+    n, places, spans = search(text)
+    assert n == 7 * 32_000 and not places and len(spans) >= 32_000
+    assert time.perf_counter() - start < 15

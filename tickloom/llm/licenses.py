@@ -16,11 +16,13 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,6 +33,10 @@ _TO_SPACE = bytes.maketrans(_SEPARATORS, b" " * len(_SEPARATORS))
 _WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+#: Windows whose best match is remembered; forgetting costs time alone.
+_KEPT_WINDOWS = 50_000
+
+
 @dataclass(frozen=True)
 class Notice:
     """A phrase of normalised words, and how many edits (characters) it may have."""
@@ -49,14 +55,23 @@ PHRASES = (
 )
 #: Further notices.
 NOTICES = (
+    Notice("agpl", "gnu affero general public license", 3),
     Notice("apache", "licensed under the apache license version 2 0", 6),
+    Notice("artistic", "the artistic license", 2),
     Notice("bsd", "redistribution and use in source and binary forms", 6),
+    Notice("bsd", "neither the name of the copyright holder nor the names of its contributors", 7),
+    Notice("bsl", "boost software license", 2),
     Notice("cc-by", "creative commons attribution", 3),
+    Notice("cc0", "cc0 1 0 universal", 0),
+    Notice("epl", "eclipse public license", 2),
     Notice("gpl", "licensed under the gnu general public license version", 6),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 7),
     Notice("lgpl", "gnu lesser general public license", 3),
     Notice("mit", "permission is hereby granted free of charge to any person", 7),
     Notice("mit", "released under the mit license", 4),
     Notice("mpl", "mozilla public license", 3),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 7),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 7),
 )
 
 
@@ -76,6 +91,7 @@ class NoticeSearch:
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
+        self.seen: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         self.patterns = [
             regex.compile(rf"(?b)(?<= )(?:{regex.escape(x.phrase, special_only=True)}){{e<={x.edits}}}(?= )") for x in self.notices
         ]
@@ -94,13 +110,18 @@ class NoticeSearch:
             size, slack = len(notice.phrase), notice.edits + 1
             if n < self.phrases:
                 exact |= {(s, n) for s in starts if s > 0 and flat.startswith(f" {notice.phrase} ", s - 1)}
-            at = 0
-            for low, high in _windows(sorted(starts), size, slack):
-                for match in self.patterns[n].finditer(flat, max(at, low, 0), min(len(flat), high)):
-                    edits = sum(match.fuzzy_counts)
-                    key = (notice.label, match.start(), match.end())
-                    found[key] = min(found.get(key, (edits, size)), (edits, size))
-                    at = match.end()
+            # Each expected place has a window of its own, which no other whole occurrence fits in.
+            matches = set()
+            for start in starts:
+                low = max(start - slack - 1, 0)
+                match = self._best(n, flat[low:start + size + slack + 1])
+                if match:
+                    matches.add((match[0], low + match[1], low + match[2]))
+            for edits, s, e in _apart(matches):
+                key = (notice.label, s, e)
+                found[key] = min(found.get(key, (edits, size)), (edits, size))
+        if not exact and not found:
+            return len(words), [], []
         count = _WordCount(flat)
         first = sorted((count(s), n) for s, n in exact)
         spans = sorted(
@@ -109,29 +130,37 @@ class NoticeSearch:
         return len(words), first, spans
 
 
+    def _best(self, n: int, window: str) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best match of a notice in a window; the same windows come again and again."""
+        key = (n, window)
+        if key not in self.seen:
+            if len(self.seen) >= _KEPT_WINDOWS:
+                self.seen.clear()
+            match = self.patterns[n].search(window)
+            self.seen[key] = match and (sum(match.fuzzy_counts), match.start(), match.end())
+        return self.seen[key]
+
+
 class _WordCount:
     """Number of the word at a place of the normalised text."""
 
     def __init__(self, flat: str) -> None:
-        self.flat = flat
+        self.spaces = np.flatnonzero(np.frombuffer(flat.encode("utf-32-le"), np.uint32) == 32)
 
     def __call__(self, at: int) -> int:
-        return self.flat.count(" ", 0, at) - 1
-
-
-def _windows(starts: list[int], size: int, slack: int) -> Iterator[tuple[int, int]]:
-    """Stretches of text around the expected starts, merged where they overlap."""
-    low = high = None
-    for start in starts:
-        a, b = start - slack - 1, start + size + slack + 1
-        if high is not None and a <= high:
-            high = max(high, b)
-            continue
-        if high is not None:
-            yield low, high
-        low, high = a, b
-    if high is not None:
-        yield low, high
+        return int(np.searchsorted(self.spaces, at)) - 1
+
+
+def _apart(matches: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of the (edits, start, end) that overlap, the ones with the fewest edits; of equals the first."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for edits, start, end in sorted(matches):
+        at = bisect.bisect_left(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            kept.insert(at, (start, end))
+            out.append((edits, start, end))
+    return out
 
 
 @lru_cache(maxsize=4)
