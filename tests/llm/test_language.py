@@ -66,3 +66,24 @@ def test_edges(spark):
     assert op.identify(frame(spark, []), model).count() == 0
     kept = op.with_language(frame(spark, rows), model)
     assert kept.columns == frame(spark, rows).columns and kept.count() == len(rows) - 4
+
+
+def test_numerals_are_no_letters(spark):
+    model = op.LanguageModel.of_counts([("en", "water", 5), ("en", "x", 1), ("de", "wasser", 5)])
+    rows = [(1, "½ ² ④ Ⅷ"), (2, "x²"), (3, "wasser ½wasser"), (4, "一二")]
+    got = {r["id"]: r for r in op.identify(frame(spark, rows), model).collect()}
+    assert got[1]["language"] == "und" and got[1]["score"] == 0 and got[1]["spans"] == []
+    assert got[2]["language"] == "en" and [(s["start"], s["end"]) for s in got[2]["spans"]] == [(0, 1)]
+    assert got[3]["language"] == "de" and [(s["start"], s["end"]) for s in got[3]["spans"]] == [(0, 14)]
+    assert got[4]["language"] != "und"
+    kept = op.with_language(frame(spark, rows), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+
+
+def test_two_hundred_languages():
+    names = [f"l{i:03d}" for i in range(200)]
+    model = op.LanguageModel.of_counts([(n, f"word{chr(97 + i // 26)}{chr(97 + i % 26)}", 3) for i, n in enumerate(names)])
+    known = op._WordRows(model)
+    for i in (0, 127, 128, 199):
+        word = f"word{chr(97 + i // 26)}{chr(97 + i % 26)}"
+        assert op._label([f"{word} {word} {word}"], known, 8.0)[0][0] == names[i]

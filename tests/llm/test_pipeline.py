@@ -12,7 +12,7 @@ from tickloom.llm import language, pieces
 
 def expected(rows, items):
     """The pipeline's stages in plain Python, on rows of distinct ids."""
-    rows = [(i, t) for i, t in rows if language.WORD.search(t or "")]
+    rows = [(i, t) for i, t in rows if language.LETTERS.search(t or "")]
     first = {}
     for i, t in sorted(rows):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), i)

@@ -24,10 +24,11 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -47,6 +48,8 @@ SCRIPTS = {
     "kana": [(0x3040, 0x30FF), (0x31F0, 0x31FF)],
     "han": [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F)],
 }
+#: Runs of letters and other numerals (fractions, raised digits, numbers in circles, which Unicode counts as word characters). The
+#: few runs that hold such a numeral are cut again with ``LETTERS``; asking for it everywhere would cost twice the time.
 WORD = re.compile(r"[^\W\d_]+")
 #: A language uses a script that holds at least this share of its learned letters.
 SCRIPT_SHARE = 0.01
@@ -55,6 +58,23 @@ _OUTSIDE, _LEAST = math.log(1e-6), 1e-4
 _KEPT_WORDS = 150_000
 
 
+def _letters() -> re.Pattern:
+    """Runs of letters alone."""
+    numerals = [c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(f"[^\\W\\d_{re.escape(''.join(numerals))}]+")
+
+
+LETTERS = _letters()
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters in a lower-cased text."""
+    found = WORD.findall(text)
+    if all(map(str.isalpha, found)):
+        return found
+    return LETTERS.findall(text)
+
+
 def script_of(word: str) -> str:
     """Script of the first letter."""
     code = ord(word[0])
@@ -135,9 +155,9 @@ def _shares(scores: np.ndarray) -> np.ndarray:
 
 def fit(
     docs: DataFrame, label_column: str = "lang", text_column: str = "text", id_column: str = "doc_id",
-    docs_per_language: int = 1000, words_per_language: int = 20_000,
+    docs_per_language: int = 1000,
 ) -> LanguageModel:
-    """Fit on about ``docs_per_language`` rows of each language; the most frequent words of each are kept."""
+    """Fit on about ``docs_per_language`` rows of each language, with all their words."""
     rows = docs.select(F.col(label_column).alias("language"), F.col(text_column).alias("text"), F.xxhash64(F.col(id_column)).alias("h"))
     rows = rows.where("language IS NOT NULL AND text IS NOT NULL")
     shares = rows.groupBy("language").agg(F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.count(F.lit(1))).alias("share"))
@@ -148,7 +168,7 @@ def fit(
         for batch in batches:
             found: dict[str, Counter] = {}
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found.setdefault(language, Counter()).update(WORD.findall(text.as_py().lower()))
+                found.setdefault(language, Counter()).update(words_of(text.as_py().lower()))
             rows = [(language, word, n) for language, counter in found.items() for word, n in counter.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))],
@@ -156,10 +176,8 @@ def fit(
             )
 
     counts = chosen.mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    # Counts of a bounded sample; at most words_per_language rows of each language reach the driver.
-    order = Window.partitionBy("language").orderBy(F.desc("n"), "word")
-    kept = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= words_per_language)
-    return LanguageModel.of_counts((r["language"], r["word"], r["n"]) for r in sorted(kept.drop("place").collect()))
+    # The words of a bounded sample.
+    return LanguageModel.of_counts((r["language"], r["word"], r["n"]) for r in sorted(counts.collect()))
 
 
 class _WordRows(dict):
@@ -168,6 +186,7 @@ class _WordRows(dict):
     def __init__(self, model: LanguageModel) -> None:
         super().__init__()
         self.model, self.scores = model, np.zeros((1024, len(model.languages)), np.float32)
+        self.odd = False  # whether a run with a numeral has been seen
 
     def __missing__(self, word: str) -> int:
         row = len(self)
@@ -255,7 +274,7 @@ def with_language(
             if known.model.languages:
                 keep = [a[0] != UNKNOWN for t in _pieces(batch.column(at)) for a in _label(t, known, switch_price)]
             else:
-                keep = [bool(WORD.search(t.as_py() or "")) for t in batch.column(at)]
+                keep = [bool(LETTERS.search(t.as_py() or "")) for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -278,6 +297,14 @@ def _pieces(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str]
 def _label(texts: list[str], known: _WordRows, switch_price: float) -> list[tuple]:
     languages = known.model.languages
     words = [WORD.findall(t.lower()) for t in texts]
+    pattern = [WORD] * len(texts)
+    fresh = set(chain.from_iterable(words)).difference(known)
+    for word in fresh:  # scored on first sight; ``odd`` where one is not of letters alone
+        known.odd |= not word.isalpha()
+    if known.odd:
+        for i, own in enumerate(words):
+            if not all(map(str.isalpha, own)):
+                words[i], pattern[i] = LETTERS.findall(texts[i].lower()), LETTERS
     lengths = np.array([len(w) for w in words])
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0] if languages else order[:0]
@@ -295,21 +322,21 @@ def _label(texts: list[str], known: _WordRows, switch_price: float) -> list[tupl
         best = int(sums[place].argmax())
         own = labels[start:start + lengths[i]]
         start += lengths[i]
-        answers[i] = (languages[best], float(sums[place, best] / sums[place].sum()), _spans(texts[i], own, languages))
+        answers[i] = (languages[best], float(sums[place, best] / sums[place].sum()), _spans(texts[i], own, languages, pattern[i]))
     return answers
 
 
-def _spans(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
+def _spans(text: str, labels: np.ndarray, languages: list[str], pattern: re.Pattern) -> list[dict]:
     if (labels == labels[0]).all():
-        first = WORD.search(text)
+        first = pattern.search(text)
         end = len(text)
-        while not WORD.match(text[end - 1]):
+        while not pattern.match(text[end - 1]):
             end -= 1
         return [{"start": first.start(), "end": end, "language": languages[labels[0]]}]
     cuts = np.flatnonzero(np.diff(labels)) + 1
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in pattern.finditer(text)]
     if len(places) != len(labels):  # lower-casing can make more characters of one
-        places = [m.span() for m in WORD.finditer(text.lower())]
+        places = [m.span() for m in pattern.finditer(text.lower())]
     return [
         {"start": places[a][0], "end": places[b - 1][1], "language": languages[labels[a]]}
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(labels)])
