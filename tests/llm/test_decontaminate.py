@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -29,7 +30,9 @@ def test_candidates_are_all_items_above_the_threshold():
     draw = random.Random(8)
     vocabulary = [f"w{i}" for i in range(120)]
     items = [(i, " ".join(draw.choices(vocabulary, k=draw.randint(3, 30)))) for i in range(70)]
-    index = op.ItemIndex.build(items, block_items=4)
+    counts = [Counter(op.WORD.findall(t)) for _, t in items]
+    frequency = Counter(t for c in counts for t in c)
+    index = op.ItemIndex.build(items, frequency, len(items), sum(map(Counter.total, counts)) / len(items), block_items=4)
     passages = [draw.choices(vocabulary, k=draw.randint(1, 60)) for _ in range(80)] + [i[1].split() for i in items]
     pairs = sorted({(n, index.terms[w]) for n, p in enumerate(passages) for w in p if w in index.terms})
     passage, numbers = (np.array(x, np.int64) for x in zip(*pairs))
@@ -68,7 +71,9 @@ def test_planted_items_are_found_wherever_they_stand(spark):
     assert {(5000 + item, item) for item, _ in items} <= got
     assert got == brute(docs, items)
     several = op.contaminated(frame(spark, docs), items_frame(spark, items), items_per_index=7)
-    assert {(r["id"], r["item_id"]) for r in several.collect()} == got
+    scores = {(r["id"], r["item_id"]): r["score"] for r in found.collect()}
+    again = {(r["id"], r["item_id"]): r["score"] for r in several.collect()}
+    assert again.keys() == scores.keys() and max(abs(again[k] - scores[k]) for k in again) < 1e-12
     kept = op.decontaminate(frame(spark, docs), items_frame(spark, items))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
@@ -90,3 +95,28 @@ def test_edges(spark):
     assert op.contaminated(frame(spark, []), items_frame(spark, items)).count() == 0
     assert op.contaminated(frame(spark, rows), items_frame(spark, [])).count() == 0
     assert op.decontaminate(frame(spark, rows), items_frame(spark, [])).count() == len(rows)
+
+
+def bm25(item, words, items):
+    """Score of an item for a passage by the formula, over its score for itself."""
+    bodies = [op.WORD.findall(t.casefold()) for _, t in items]
+    mean = sum(map(len, bodies)) / len(bodies)
+
+    def weight(term):
+        n = sum(term in b for b in bodies)
+        tf = item.count(term)
+        return math.log(1 + (len(bodies) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(item) / mean))
+
+    return sum(weight(t) for t in set(item) & set(words)) / sum(weight(t) for t in set(item))
+
+
+def test_scores_are_bm25(spark):
+    draw = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(draw.choices(vocabulary, k=draw.randint(5, 25)))) for i in range(40)]
+    docs = [(i, items[i][1] + " and more") for i in range(0, 40, 5)]
+    for size in (50_000, 10):
+        found = op.contaminated(frame(spark, docs), items_frame(spark, items), threshold=0.2, overlap=0.0, items_per_index=size).collect()
+        want = {(d, i): bm25(t.split(), text.split(), items) for d, text in docs for i, t in items}
+        assert {(r["id"], r["item_id"]) for r in found} == {k for k, v in want.items() if v >= 0.2}
+        assert all(abs(r["score"] - want[r["id"], r["item_id"]]) < 1e-9 for r in found)

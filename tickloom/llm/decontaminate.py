@@ -13,8 +13,9 @@ item with room to spare, and every passage is a query:
 A kept item is verified on the words around the passage: at least ``overlap`` of the
 question's and of the answer's distinct word shingles must stand there.
 
-Items are indexed in blocks of ``items_per_index``, one index in memory at a time; all
-documents are read against each.
+Items are indexed in blocks of about ``items_per_index``, each built by a task from its items; all documents are read against
+each. The number of items, their mean length and the items with a term are counted over all items first,
+so a score does not depend on the block.
 
 Defined cases: null and wordless texts and items match nothing; items shorter than a
 shingle are one shingle of all their words; repeated documents are searched each;
@@ -25,11 +26,12 @@ ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tickloom.llm.shared import stored
+
 WORD = re.compile(r"\w+")
 #: Constants of BM25.
 K1, B = 1.2, 0.75
@@ -85,16 +89,17 @@ class ItemIndex:
     shingle_words: int
 
     @staticmethod
-    def build(items: list[tuple[object, str | None]], block_items: int = 16, shingle_words: int = 5) -> ItemIndex:
+    def build(
+        items: list[tuple[object, str | None]], frequency: Mapping[str, int], n_items: int, mean: float, block_items: int = 16, shingle_words: int = 5
+    ) -> ItemIndex:
+        """``frequency`` (items with a term), ``n_items`` and ``mean`` (words an item) are those of all items, not of these alone."""
         # Items with common words stand together, so that a block's bounds are tight.
         split = [(item, *split_item(text or "")) for item, text in items]
         split = sorted((x for x in split if x[1] or x[2]), key=lambda x: (sorted(x[1] + x[2])[len(x[1] + x[2]) // 2], x[1], x[2], str(x[0])))
         words = [question + answer for _, question, answer in split]
         counts = [Counter(w) for w in words]
-        frequency = Counter(t for c in counts for t in c)
-        terms = {t: i for i, t in enumerate(frequency)}
-        idf = {t: math.log(1 + (len(words) - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
-        mean = sum(map(len, words)) / max(1, len(words))
+        terms = {t: i for i, t in enumerate(dict.fromkeys(t for c in counts for t in c))}
+        idf = {t: math.log(1 + (n_items - frequency[t] + 0.5) / (frequency[t] + 0.5)) for t in terms}
         postings: list[list[tuple[int, float]]] = [[] for _ in terms]
         for item, (w, c) in enumerate(zip(words, counts)):
             raw = {terms[t]: idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(w) / mean)) for t, n in c.items()}
@@ -215,10 +220,44 @@ class PassageSearch:
         return len(part & there) / len(part)
 
 
-def _blocks(items: DataFrame, id_column: str, text_column: str, rows: int) -> Iterator[list[tuple]]:
-    stream = iter(items.select(F.col(id_column), F.col(text_column)).orderBy(id_column, text_column).toLocalIterator())
-    while block := [tuple(r) for r in islice(stream, rows)]:
-        yield block
+def _words(text: str | None) -> list[str]:
+    question, answer = split_item(text or "")
+    return question + answer
+
+
+def item_indexes(items: DataFrame, items_per_index: int, id_column: str = "item_id", text_column: str = "text") -> Iterator[ItemIndex]:
+    """The index of each block of items, one at a time."""
+    rows = stored(items.select(F.col(id_column).alias("item"), F.col(text_column).alias("text")).withColumn("key", F.monotonically_increasing_id()), "items")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, terms, lengths = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = _words(text)
+                for place, term in enumerate(dict.fromkeys(words)):
+                    keys.append(key)
+                    terms.append(term)
+                    lengths.append(0 if place else len(words))  # once an item
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(terms, pa.string()), pa.array(lengths, pa.int64())], names=["key", "term", "length"])
+
+    terms = stored(rows.select("key", "text").mapInArrow(count, "key long, term string, length long"), "item-terms")
+    n_items, total = terms.agg(F.count_if(F.col("length") > 0), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if not n_items:
+        return
+    blocks = -(-n_items // items_per_index)
+    counted = terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("key").agg(
+        F.collect_list("term").alias("terms"), F.collect_list("n").alias("counts"))
+    whole = rows.join(counted, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+
+    def build(block: pa.Table) -> pa.Table:
+        frequency: dict[str, int] = {}
+        for own, n in zip(block["terms"], block["counts"]):
+            frequency.update(zip(own.as_py(), n.as_py()))
+        index = ItemIndex.build(list(zip(block["item"].to_pylist(), block["text"].to_pylist())), frequency, n_items, total / n_items)
+        return pa.table({"index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    for row in whole.select("block", "item", "text", "terms", "counts").groupBy("block").applyInArrow(build, "index binary").toLocalIterator():
+        yield pickle.loads(row["index"])
 
 
 def contaminated(
@@ -236,8 +275,8 @@ def contaminated(
     columns = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     item_type = to_arrow_type(item_kind)
     spark, results = docs.sparkSession, []
-    for block in _blocks(items, "item_id", "text", items_per_index):
-        shared = spark.sparkContext.broadcast(ItemIndex.build(block))
+    for index in item_indexes(items, items_per_index):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = PassageSearch(shared.value, threshold, overlap)
@@ -285,8 +324,8 @@ def decontaminate(
 ) -> DataFrame:
     """The documents in which no item is found, with all their columns; no row moves."""
     spark, clean, at = docs.sparkSession, docs, docs.columns.index(text_column)
-    for block in _blocks(items, "item_id", "text", items_per_index):
-        shared = spark.sparkContext.broadcast(ItemIndex.build(block))
+    for index in item_indexes(items, items_per_index):
+        shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = PassageSearch(shared.value, threshold, overlap)
