@@ -45,3 +45,11 @@ def test_changed_payload_is_noticed(spark):
     written.headers(spark).write.parquet(f"{other.path}/headers")
     with pytest.raises(Exception, match="does not have the digest"):
         op.read_records(spark, other).collect()
+
+
+def test_ids_of_any_type(spark):
+    body = "<p>" + "same words in each of them " * 8
+    pages = spark.createDataFrame([("b", "u1", body), ("a10", "u2", body), (None, "u3", body), ("c", "u4", "short")], "page_id string, url string, html string")
+    records = op.parse_records(op.read_records(spark, op.write_archive(pages)), id_type="string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in records.collect()}
+    assert got == {"a10": ("response", None), "b": ("revisit", "a10"), None: ("revisit", "a10"), "c": ("response", None)}

@@ -83,6 +83,14 @@ def test_every_window_has_one_sample_inside_it():
         assert (place >= last).all() and (place + op.GRAM <= first + 100).all()
 
 
+def test_ids_of_any_type(spark):
+    twice = "the same hundred bytes and more of them " * 5
+    docs = spark.createDataFrame([("b", twice), ("a2", "x" + twice), (None, twice + "y"), ("a10", "one")], "doc_id string, text string").repartition(3)
+    got = {r["id"]: sum(s["end"] - s["start"] for s in r["spans"]) for r in op.remove_repeats(docs).collect()}
+    again = len(twice) - 40  # a period of forty bytes repeats inside the first text already
+    assert got == {"a10": 0, "a2": again, "b": len(twice), None: len(twice)}
+
+
 def test_runs_in_a_process_that_has_imported_nothing_else():
     """Workers of this process import what the operator names, and no other test's imports."""
     code = (

@@ -144,8 +144,8 @@ def _has_payload(header: Column) -> Column:
     return ~header.cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
 
 
-def parse_records(records: DataFrame) -> DataFrame:
-    """Fields of each record, from its bytes; lengths and digests are those of the full payload."""
+def parse_records(records: DataFrame, id_type: str = "long") -> DataFrame:
+    """Fields of each record, from its bytes; lengths and digests are those of the full payload. ``id_type`` is the pages' id type."""
     text = F.col("bytes").cast("string")
     head = F.substring_index(text, BLANK, 1)
 
@@ -156,7 +156,7 @@ def parse_records(records: DataFrame) -> DataFrame:
     start = F.octet_length(head) + len(BLANK)
     own = F.expr(f"substring(bytes, head_bytes + {len(BLANK)} + 1, octet_length(bytes) - head_bytes - {2 * len(BLANK)})")
     parsed = records.withColumns({"head_bytes": start - len(BLANK)}).withColumns({
-        "type": field("WARC-Type"), "page_id": field("X-Page-ID").cast("long"), "refers_to": field("X-Refers-To-Page").cast("long"),
+        "type": field("WARC-Type"), "page_id": field("X-Page-ID").cast(id_type), "refers_to": field("X-Refers-To-Page").cast(id_type),
         "url": field("WARC-Target-URI"), "digest": F.substring_index(field("WARC-Payload-Digest"), ":", -1),
         "length": field("Content-Length").cast("long"), "own": own,
     })

@@ -64,33 +64,26 @@ def first_seen(landed: DataFrame, files_per_batch: int | None = None, rows_per_s
     """
     spark = landed.sparkSession
     updates, state = scratch_path(spark, "first-seen"), scratch_path(spark, "dedup-state")
-    stream = spark.readStream.schema(landed.schema)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
     source = sorted({f.rsplit("/", 1)[0] for f in landed.inputFiles()})
     if not source:
         return _groups(landed)
+    # A session of its own: other queries of the caller's go on with the caller's settings.
+    own = spark.newSession()
+    for key, value in (STATE_STORE | {STATE_PARTITIONS: str(landed.count() // rows_per_state + 1)}).items():
+        own.conf.set(key, value)
+    stream = own.readStream.schema(landed.schema)
+    if files_per_batch:
+        stream = stream.option("maxFilesPerTrigger", files_per_batch)
     seen = _groups(stream.parquet(*source))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={batch_id}")
 
-    settings = STATE_STORE | {STATE_PARTITIONS: str(landed.count() // rows_per_state + 1)}
-    before = {key: spark.conf.get(key, None) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
-        run = (
-            seen.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", state).trigger(availableNow=True).start()
-        )
-        run.awaitTermination()
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)
+    run = (
+        seen.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
     # A later batch repeats a digest with a smaller or equal keeper and a larger count.
     return (
         spark.read.schema(seen.schema).parquet(updates)

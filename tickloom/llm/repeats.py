@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.shared import stored
 
@@ -121,11 +122,15 @@ class Membership:
 
 
 def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = F.col(text_column)
-    return docs.select(
-        F.col(id_column).alias("id"), F.coalesce(F.col(id_column).cast("long"), F.lit(_LAST)).alias("place"), F.xxhash64(text).alias("tie"),
-        text.alias("text"),
-    )
+    text, ident = F.col(text_column), F.col(id_column)
+    if isinstance(docs.schema[id_column].dataType, T.IntegralType):
+        placed = docs.select(ident.alias("id"), ident.cast("long").alias("place"), text.alias("text"))
+    else:
+        # Ids of other types: their places in the sorted order, from a distributed sort.
+        order = stored(docs.select(ident.alias("id")).where("id IS NOT NULL").distinct().orderBy("id").select(
+            "id", F.monotonically_increasing_id().alias("place")), "id-order")
+        placed = docs.select(ident.alias("id"), text.alias("text")).join(order, "id", "left")
+    return placed.select("id", F.coalesce("place", F.lit(_LAST)).alias("place"), F.xxhash64("text").alias("tie"), "text")
 
 
 def gram_counts(texts: DataFrame, length: int) -> DataFrame:
