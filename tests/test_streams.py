@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.test_windows import frame, tape
+from tickloom import session
 from tickloom.operators import joins as J
 from tickloom.operators import messages as M
 from tickloom.operators import ticks as K
@@ -203,3 +204,12 @@ def test_file_sizes_are_those_on_disk(spark):
         want[symbol] = want.get(symbol, 0) + os.path.getsize(file)
     got = {r["symbol"]: r["file_size_mb"] for r in tables.file_sizes(tables.read_ticks(spark, path)).collect()}
     assert got == {s: n / (1024 * 1024) for s, n in want.items()} and len(got) == 2
+
+
+def test_scratch_is_removed_on_request(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_SCRATCH", [])
+    paths = [session.scratch_path(spark, "left") for _ in range(2)]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    assert session.remove_scratch(spark) == 2 and session.remove_scratch(spark) == 0
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in paths)

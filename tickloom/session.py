@@ -34,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; nothing is ever overwritten."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Remove what this process has written under ``scratch_path``, once results that read from it are stored elsewhere."""
+    removed = 0
+    while _SCRATCH:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        removed += bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
+    return removed
 
 
 def ship_module(name: str) -> None:
