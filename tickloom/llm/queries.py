@@ -114,13 +114,14 @@ def whitening_rows(vectors: DataFrame, count: int) -> DataFrame:
     model = whitening.fit(vectors)
     if model is None:
         return vectors.sparkSession.createDataFrame([], columns)
-    found = whitening.whiten(vectors, model, count)
-    error = whitening.identity_error(found)
+    error = whitening.identity_error(whitening.whiten(vectors, model, count))
     sums = F.array(*[F.lit(int(s)).cast("long") for s in model.sums])
     steps = F.zip_with("vector", sums, lambda x, s: F.lit(model.n).cast("long") * x - s)
     deviation = F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step * step)
     shares = F.array(*[F.lit(float(e) / model.trace if model.trace else None).cast("double") for e in model.eigenvalues[:count]])
-    exploded = found.select("id", deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    # Once a vector, below the step that makes a row of each component.
+    found = whitening.whiten(vectors.withColumn("deviation", deviation), model, count)
+    exploded = found.select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     return exploded.select(
         F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(shares, "at").alias("explained"), F.lit(error).cast("double").alias("identity_error"),

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickloom.llm.vectors import matrix, reduce_tasks, usable
 from tickloom.session import ship_module
@@ -198,22 +199,22 @@ def fit(vectors: DataFrame) -> Whitening | None:
 
 
 def whiten(vectors: DataFrame, model: Whitening, count: int) -> DataFrame:
-    """id, vector, whitened: the centred vector on the first ``count`` components, each to variance one; null
+    """The rows of ``vectors`` with ``whitened``: the centred vector on the first ``count`` components, each to variance one; null
     entries where a component has no extent."""
-    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+    at, schema = vectors.columns.index("vector"), T.StructType([*vectors.schema.fields, T.StructField("whitened", T.ArrayType(T.DoubleType()))])
     shared = vectors.sparkSession.sparkContext.broadcast((model.n, model.sums, model.scale(count)))
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums, scale = shared.value
         for batch in batches:
             if batch.num_rows:
-                w = _centred(matrix(batch.column(1)), n, sums) @ np.nan_to_num(scale)
+                w = _centred(matrix(batch.column(at)), n, sums) @ np.nan_to_num(scale)
                 w[:, np.isnan(scale).any(axis=0)] = np.nan
                 flat = pa.array(w.ravel(), from_pandas=True)
                 offsets = pa.array(np.arange(0, w.size + 1, w.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], names=["id", "vector", "whitened"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
 
-    return vectors.select("id", "vector").mapInArrow(project, f"id {kinds['id']}, vector {kinds['vector']}, whitened array<double>")
+    return vectors.mapInArrow(project, schema)
 
 
 def identity_error(whitened: DataFrame) -> float | None:
