@@ -291,30 +291,28 @@ def rolling_features(
     min_ticks: int = MIN_TICKS,
     slice_seconds: int = SLICE_SECONDS,
     keep: Sequence[str] = (),
-    keep_slice: bool = False,
 ) -> DataFrame:
     """One column ``<feature>_<w>s`` per feature and window, plus tick_id, symbol, time.
 
-    ``keep`` names tick columns to pass through. ``keep_slice`` leaves the slice the
-    rows are partitioned by in ``_slice``.
+    ``keep`` names tick columns to pass through.
     """
     unknown = set(features) - set(FEATURE_NAMES)
     if unknown:
         raise ValueError(f"unknown features: {sorted(unknown)}")
     base = fill_defaults(ticks)
-    placed = placed_features(base.filter(is_placed()), features, windows, min_ticks, slice_seconds, keep, keep_slice)
+    placed = placed_features(base.filter(is_placed()), features, windows, min_ticks, slice_seconds, keep)
     # The others need no shuffle; the condition reaches the scan.
     rest = base.filter(~is_placed()).select(
-        "tick_id", "symbol", "time", *keep, *([time_slice(slice_seconds).alias("_slice")] if keep_slice else []),
-        *[F.lit(None).cast("double").alias(c) for c in feature_columns(features, windows)])
+        "tick_id", "symbol", "time", *keep, *[F.lit(None).cast("double").alias(c) for c in feature_columns(features, windows)])
     return placed.unionByName(rest)
 
 
 def placed_features(
     ticks: DataFrame, features: Sequence[str], windows: Sequence[int], min_ticks: int, slice_seconds: int,
-    keep: Sequence[str], keep_slice: bool,
+    keep: Sequence[str], keep_slice: bool = False,
 ) -> DataFrame:
-    """``rolling_features`` of ticks that all have symbol, time and id."""
+    """``rolling_features`` of ticks that all have symbol, time and id; ``keep_slice`` leaves what the rows are partitioned
+    and sorted by in ``_slice`` and ``_us``."""
     base = _finite(ticks)
     given = ["direction"] if "direction" in base.columns else []
     base = base.select("tick_id", "symbol", "time", "bid", "ask", "last", "volume", *given, *keep)
@@ -322,7 +320,7 @@ def placed_features(
     if not given:
         rows = rows.withColumn("direction", S.sign(F.col("last") - F.col("_prev_last")))
     rows = _add_windows(rows, features, windows, min_ticks)
-    home = [F.col(_HOME).alias("_slice")] if keep_slice else []
+    home = [F.col(_HOME).alias("_slice"), "_us"] if keep_slice else []
     return rows.filter(_OWN).select(
         "tick_id", "symbol", "time", *keep, *home, *feature_columns(features, windows)
     )

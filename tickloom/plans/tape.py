@@ -34,16 +34,30 @@ def fill_features(df: DataFrame, columns: Sequence[str], slice_seconds: int = SL
 
 
 def _filled(cut: DataFrame, columns: Sequence[str], slice_seconds: int) -> DataFrame:
-    """The rows are dealt once by (symbol, slice); the last values of the slices and the rows
-    are both read from that shuffle.
+    return _or_zero(last_known_cut(cut, {c: _clean(c) for c in columns}, by_time(seconds=slice_seconds)), columns)
 
-    Its number of partitions differs from every other shuffle's: rows that already lie by (symbol, slice) would
-    stay where they are otherwise, without a shuffle to read twice, and all that comes before would run twice. Spark
-    sees that both readings are of one shuffle where the sources are files or tables; rows made on the driver it reads twice.
+
+def _filled_in_place(wide: DataFrame, columns: Sequence[str], kept: Sequence[str]) -> DataFrame:
+    """``_filled`` for rows that lie sorted by (symbol, slice), which cost much to make.
+
+    Inside a slice the rows are filled where they lie. Then they are shuffled once, and both the last row of each slice, whose values
+    go on to the later ones, and the rows themselves are read from that shuffle. Its number of partitions differs from
+    every other shuffle's, or Spark would leave the rows where they are and make all of them twice; and both readings
+    name all its columns (``* 0`` and ``% 1`` change nothing), or each would get a shuffle of its own columns. Spark sees that
+    they are of one shuffle where the sources are files or tables; rows made on the driver it reads twice.
     """
-    partitions = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
-    dealt = cut.repartition(partitions, "symbol", SLICE)
-    return _or_zero(last_known_cut(dealt, {c: _clean(c) for c in columns}, by_time(seconds=slice_seconds)), columns)
+    over = f"over (partition by symbol, {SLICE} order by _us, tick_id"
+    local = wide.select(*kept, SLICE, "_us", *[_clean(c).alias(c) for c in columns]).selectExpr(
+        *kept, SLICE, f"lead(1) {over}) is null as _final",
+        *[f"last({c}, true) {over} rows between unbounded preceding and current row) as {c}" for c in columns])
+    partitions = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1
+    dealt = local.repartition(partitions, "symbol", SLICE)
+    tails = dealt.filter(f"_final and xxhash64({', '.join(kept)}) % 1 = 0")
+    before = f"over (partition by symbol order by {SLICE} rows between unbounded preceding and 1 preceding)"
+    carry = tails.selectExpr("symbol", SLICE, *[f"last({c}, true) {before} as _c{i}" for i, c in enumerate(columns)])
+    rows = [c if c != "tick_id" else "tick_id + cast(_final as bigint) * 0 as tick_id" for c in kept]
+    return dealt.join(carry, ["symbol", SLICE], "left").selectExpr(
+        *rows, *[f"coalesce({c}, _c{i}, 0D) as {c}" for i, c in enumerate(columns)])
 
 
 def extract_features(
@@ -57,9 +71,8 @@ def extract_features(
 ) -> DataFrame:
     """All features of every tick on one frame, filled.
 
-    Bar context goes along as columns, so it needs no join. The windows run once: their
-    result is dealt by (symbol, slice) again, and the fill takes both the last values of each slice and
-    the rows from that one shuffle. A tick without symbol, time or id has no place in a history: it stays, and
+    Bar context goes along as columns, so it needs no join. The windows run once, and the fill takes both the last values of each
+    slice and the rows from one shuffle of their result. A tick without symbol, time or id has no place in a history: it stays, and
     all its features are 0. ``keep`` names tick columns to pass through.
     """
     base = fill_defaults(ticks)
@@ -69,6 +82,6 @@ def extract_features(
     if bars is not None:
         placed, context = with_bar_context(placed, bars, closed_bars_only, slice_seconds), BAR_CONTEXT
     wide = placed_features(placed, features, windows, MIN_TICKS, slice_seconds, [*keep, *context], keep_slice=True)
-    columns = [*feature_columns(features, windows), *context]
+    columns, kept = [*feature_columns(features, windows), *context], ["tick_id", "symbol", "time", *keep]
     rest = base.filter(~is_placed()).select("tick_id", "symbol", "time", *keep, *[F.lit(0.0).alias(c) for c in columns])
-    return _filled(wide, columns, slice_seconds).drop(SLICE).unionByName(rest)
+    return _filled_in_place(wide, columns, kept).unionByName(rest)
