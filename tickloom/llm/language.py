@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -103,25 +104,29 @@ class LanguageModel:
     @staticmethod
     def of_counts(counts: Iterable[tuple[str, str, int]]) -> LanguageModel:
         """From (language, word, count) rows."""
-        by_word: dict[str, dict[str, int]] = {}
+        words: dict[str, int] = {}
+        numbers: dict[str, int] = {}
+        cells = array("q"), array("q"), array("q")
         for language, word, n in counts:
-            by_word.setdefault(word, {})[language] = n
-        languages = sorted({language for found in by_word.values() for language in found})
-        words = {word: i for i, word in enumerate(by_word)}
+            for column, value in zip(cells, (words.setdefault(word, len(words)), numbers.setdefault(language, len(numbers)), n)):
+                column.append(value)
+        languages = sorted(numbers)
+        place = np.array([languages.index(x) for x in numbers], np.int64)
         table = np.zeros((len(words), len(languages)))
+        at, of, n = (np.frombuffer(c, np.int64) if len(c) else np.empty(0, np.int64) for c in cells)
+        np.add.at(table, (at, place[of] if len(of) else of), n)
         grams: dict[str, int] = {}
-        places, weights, letters = [], [], {}
-        for word, found in by_word.items():
-            row = [found.get(language, 0) for language in languages]
-            table[words[word]] = row
+        owners, places, letters = array("q"), array("q"), {}
+        for word, row in words.items():
             for gram in _trigrams(word):
+                owners.append(row)
                 places.append(grams.setdefault(gram, len(grams)))
-                weights.append(row)
             script = script_of(word)
-            letters[script] = letters.get(script, 0) + len(word) * np.array(row, float)
+            letters[script] = letters.get(script, 0) + len(word) * table[row]
         gram_table = np.zeros((len(grams), len(languages)))
-        if weights:
-            np.add.at(gram_table, places, np.array(weights, float))
+        for start in range(0, len(places), 100_000):
+            own = slice(start, start + 100_000)
+            np.add.at(gram_table, np.array(places[own], np.int64), table[np.array(owners[own], np.int64)])
         total = sum(letters.values()) if letters else np.zeros(len(languages))
         scripts = {s: found >= SCRIPT_SHARE * np.maximum(total, 1) for s, found in letters.items()}
         return LanguageModel(languages, words, _log(table), grams, _log(gram_table), scripts)
@@ -176,8 +181,9 @@ def fit(
             )
 
     counts = chosen.mapInArrow(count, "language string, word string, n long").groupBy("language", "word").agg(F.sum("n").alias("n"))
-    # The words of a bounded sample.
-    return LanguageModel.of_counts((r["language"], r["word"], r["n"]) for r in sorted(counts.collect()))
+    # The words of a bounded sample, as columns.
+    found = counts.toArrow().sort_by([("language", "ascending"), ("word", "ascending")])
+    return LanguageModel.of_counts(row for batch in found.to_batches() for row in zip(*(c.to_pylist() for c in batch.columns)))
 
 
 class _WordRows(dict):
