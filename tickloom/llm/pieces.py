@@ -21,7 +21,6 @@ empty table gives an empty result; texts may be of any length; other columns are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -34,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks of a generation (the last two are kept) and piece pairs a worker remembers; forgetting costs time alone.
-_KEPT_CHUNKS, _KEPT_PAIRS = 120_000, 1_000_000
+#: Chunks of a generation (the last two are kept) and the size of the table of piece pairs a worker remembers; forgetting costs time alone.
+_KEPT_CHUNKS, _KEPT_PAIRS = 120_000, 1 << 21
 #: Longest run of texts, and of new parts, in characters, that is taken at once.
 _BATCH_CHARS, _INDEX_CHARS = 2_000_000, 200_000
+#: Ids whose bytes are put together at once.
+_DECODED_IDS = 500_000
 
 
 class PieceModel:
@@ -51,7 +52,10 @@ class PieceModel:
         is_byte = [self.processor.is_byte(i) for i in range(size)]
         self.byte_ids = {int(t[3:5], 16): i for i, t in enumerate(self.texts) if is_byte[i]}
         self.rank = {t: (self.processor.get_score(i), i) for i, t in enumerate(self.texts) if not odd[i] and not is_byte[i]}
-        self.chunks = self._chunk_pattern()
+        longer = [t for t in self.rank if len(t) > 1]
+        # No longer piece holds these, and whether one goes on after white space that follows something else.
+        self.alone = [c for c in "\n\t" if not any(c in t for t in longer)]
+        self.through_space = any(SPACE in t.lstrip(SPACE) for t in longer)
         # Pieces that encode to themselves; only these can be part of an encoding.
         self.ids = np.array([i for t, (_, i) in self.rank.items() if self.merge(t) == [t]], np.int64)
         self.longest = max((len(self.texts[i]) for i in self.ids), default=1)
@@ -128,12 +132,20 @@ class PieceModel:
     def text(self, piece: int) -> str:
         return self.texts[piece] if piece < len(self.texts) else chr(piece - len(self.texts))
 
-    def _chunk_pattern(self) -> re.Pattern:
-        longer = [t for t in self.rank if len(t) > 1]
-        alone = "".join(c for c in "\n\t" if not any(c in t for t in longer))
-        if any(SPACE in t.lstrip(SPACE) for t in longer):
-            return re.compile(rf"[^{alone}]+|[{alone}]" if alone else r"(?s).+")
-        return re.compile(rf"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|[{alone}]" if alone else ""))
+    def chunk_bounds(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Places in UTF-8 bytes that no piece crosses; ``texts`` are the bounds of texts."""
+        bound = np.zeros(len(data) + 1, bool)
+        bound[texts] = True
+        if not self.through_space:
+            first, middle, last = SPACE.encode()
+            at = np.flatnonzero((data[:-2] == first) & (data[1:-1] == middle) & (data[2:] == last))
+            behind = np.zeros(len(data) + 1, bool)
+            behind[at + 3] = True
+            bound[at[~behind[at]]] = True
+        for c in self.alone:
+            at = np.flatnonzero(data == ord(c))
+            bound[at], bound[at + 1] = True, True
+        return np.flatnonzero(bound)
 
     def merge(self, text: str, until: int = 1) -> list[str]:
         """The merge procedure on a short text, down to ``until`` parts: best pair first, leftmost of equals."""
@@ -148,10 +160,13 @@ class PieceModel:
 
 
 class Decoder:
-    """The bytes of every id."""
+    """The bytes of every id, one after another, and where they begin."""
 
     def __init__(self, model: bytes) -> None:
-        self.bytes_of = [self._bytes(_processor(model), i) for i in range(_processor(model).get_piece_size())]
+        bytes_of = [self._bytes(_processor(model), i) for i in range(_processor(model).get_piece_size())]
+        self.flat = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.sizes = np.array([len(b) for b in bytes_of], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     @staticmethod
     def _bytes(processor: sentencepiece.SentencePieceProcessor, i: int) -> bytes:
@@ -161,10 +176,23 @@ class Decoder:
             return b""
         return processor.id_to_piece(i).replace(SPACE, " ").encode()
 
-    def __call__(self, ids: Iterable[int]) -> str:
-        """Text of ids; the space the encoder puts before a text is taken off."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def __call__(self, lists: pa.ListArray) -> list[str]:
+        """Texts of lists of ids; the space the encoder puts before a text is taken off."""
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        ids = lists.values.to_numpy()[bounds[0]:bounds[-1]]
+        bounds = bounds - bounds[0]
+        raw, ends, total = [], np.zeros(len(bounds), np.int64), 0
+        for at in range(0, len(ids), _DECODED_IDS):
+            own = ids[at:at + _DECODED_IDS]
+            sizes = self.sizes[own]
+            after = np.cumsum(sizes)
+            raw.append(self.flat[np.arange(after[-1]) + np.repeat(self.begins[own] + sizes - after, sizes)].tobytes())
+            inside = np.flatnonzero((bounds > at) & (bounds <= at + len(own)))
+            ends[inside] = total + after[bounds[inside] - at - 1]
+            total += int(after[-1])
+        whole, ends = b"".join(raw), ends.tolist()
+        texts = (whole[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:]))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 @lru_cache(maxsize=1)
@@ -178,40 +206,66 @@ def _decoder(model: bytes) -> Decoder:
 
 
 class SuffixArray:
-    """Suffixes of an integer text, ordered by their first ``depth`` symbols at least."""
+    """Suffixes of an integer text, ordered by their first ``depth`` symbols at least; 0 is smaller than all symbols of a pattern.
+
+    As many symbols as fit in a number are ranked at once; then ranks of twice the length follow from pairs of ranks.
+    """
 
     def __init__(self, codes: np.ndarray, depth: int) -> None:
-        self.codes = np.concatenate((codes, np.zeros(depth, np.int64)))
-        rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
-        known = 1
-        while known < depth:
-            ahead = np.zeros_like(rank)
-            ahead[:-known] = rank[known:]
-            rank = np.unique(rank * (len(codes) + 2) + ahead, return_inverse=True)[1].astype(np.int64) + 1
+        present = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        present[codes], present[0] = True, True
+        self.dense = np.cumsum(present) - 1
+        self.dense[~present] = -1
+        bits = max(1, int(self.dense.max()).bit_length())
+        self.bits, self.step = bits, 62 // bits
+        # Zeros behind the text, so that every suffix has all its symbols.
+        symbols = np.concatenate((self.dense[codes], np.zeros(max(depth, self.step), np.int64)))
+        keys = np.zeros(len(symbols), np.int64)
+        for at in range(self.step):
+            keys[:len(symbols) - at] |= symbols[at:] << ((self.step - 1 - at) * bits)
+        #: For each level its distinct keys; a suffix's rank is the place of its key.
+        self.levels, known = [], self.step
+        while True:
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            self.levels.append(ordered[new])
+            number = np.cumsum(new) - 1
+            if known >= depth:
+                break
+            rank = np.empty(len(keys), np.int64)
+            rank[order] = number
+            keys = rank * len(rank)
+            keys[:-known] += rank[known:]
             known *= 2
-        self.order = np.argsort(rank, kind="stable")
+        self.order, self.size = order, len(order)
+        self.first = np.append(np.flatnonzero(new), len(order))
 
     def ranges(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last + 1 place in the order for each pattern, all by binary search at once."""
-        low, high = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.order), np.int64)
-        for at in range(patterns.shape[1]):
-            alive = np.flatnonzero((lengths > at) & (low < high))
-            if not len(alive):
-                break
-            wanted = patterns[alive, at]
-            a, b = low[alive], high[alive]
-            low[alive], high[alive] = self._bound(a, b, at, wanted), self._bound(a, b, at, wanted + 1)
-        return low, high
-
-    def _bound(self, low: np.ndarray, high: np.ndarray, at: int, wanted: np.ndarray) -> np.ndarray:
-        """First place in [low, high) whose symbol ``at`` is not below ``wanted``."""
-        low, high = low.copy(), high.copy()
-        while (open_ := low < high).any():
-            middle = (low + high) // 2
-            below = open_ & (self.codes[self.order[np.minimum(middle, len(self.order) - 1)] + at] < wanted)
-            low = np.where(below, middle + 1, low)
-            high = np.where(open_ & ~below, middle, high)
-        return low
+        blocks = 1 << (len(self.levels) - 1)
+        patterns = np.where(np.arange(patterns.shape[1]) < lengths[:, None], patterns, 0)
+        inside = patterns < len(self.dense)
+        symbols = np.where(inside, self.dense[np.where(inside, patterns, 0)], -1)
+        wide = np.zeros((len(patterns), blocks * self.step), np.int64)
+        n = min(wide.shape[1], symbols.shape[1])
+        wide[:, :n] = symbols[:, :n]
+        absent = (wide < 0).any(axis=1)
+        wide = np.where(wide < 0, 0, wide).reshape(len(patterns), blocks, self.step)
+        shifts = np.arange(self.step - 1, -1, -1) * self.bits
+        keys = (wide << shifts).sum(axis=2)
+        own = np.clip(lengths[:, None] - np.arange(blocks) * self.step, 0, self.step)
+        low, high = np.searchsorted(self.levels[0], keys), np.searchsorted(self.levels[0], keys + (1 << ((self.step - own) * self.bits)))
+        size = self.step
+        for level in self.levels[1:]:
+            a, b, c, d = low[:, ::2], high[:, ::2], low[:, 1::2], high[:, 1::2]
+            # The second half counts where the first is whole; no more than one key is equal to that.
+            whole = (own[:, ::2] == size) & (a < b)
+            low = np.searchsorted(level, a * self.size + np.where(whole, c, 0))
+            high = np.searchsorted(level, np.where(whole, a * self.size + d, b * self.size))
+            own, size = own[:, ::2] + own[:, 1::2], 2 * size
+        low, high = self.first[low[:, 0]], self.first[high[:, 0]]
+        return low, np.where(absent, low, high)
 
 
 class Encoder:
@@ -223,26 +277,43 @@ class Encoder:
         self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.numbers = list(range(len(model.texts)))
-        self.pair_keys, self.pair_fits = np.empty(0, np.int64), np.empty(0, bool)
+        # A table with one place for each hash: a pair and its answer, until another pair takes the place.
+        bits = _KEPT_PAIRS.bit_length() - 1
+        self.pair_keys, self.pair_fits, self.pair_shift = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool), np.uint64(64 - bits)
 
     def forget(self) -> None:
         """Drop what was kept between batches, but for the pairs."""
         self.known, self.older, self.parts = {}, {}, {}
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
+        return self.lists(texts).to_pylist()
+
+    def lists(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
         if len(self.known) > _KEPT_CHUNKS:
             self.known, self.older = {}, self.known
         if len(self.parts) > _KEPT_CHUNKS:
             self.parts = {}
-        cut = [self.model.chunks.findall(self.model.processor.normalize(t)) for t in texts]
-        fresh = set(chain.from_iterable(cut)).difference(self.known)
+        whole = [self.model.processor.normalize(t).encode() for t in texts]
+        data = b"".join(whole)
+        ends = np.cumsum([0, *map(len, whole)])
+        bounds = self.model.chunk_bounds(np.frombuffer(data, np.uint8), ends)
+        chunks = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        distinct, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        fresh = set(distinct).difference(self.known)
         again = fresh.intersection(self.older)
         self.known.update((c, self.older[c]) for c in again)
         fresh = list(fresh - again)
         if fresh:
             self.known.update(self._by_parts(fresh))
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, chunks))) for chunks in cut]
+        found = list(map(self.known.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+        own = sizes[index]
+        after = np.concatenate(([0], np.cumsum(own)))
+        ids = flat[np.arange(after[-1]) + np.repeat((np.cumsum(sizes) - sizes)[index] - after[:-1], own)]
+        offsets = after[np.searchsorted(bounds, ends)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     def _by_parts(self, chunks: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Encodings of chunks, from those of their parts."""
@@ -303,7 +374,8 @@ class Encoder:
         """
         chunk_begin = np.repeat(begins, sizes + 1)
         distance = ends - chunk_begin[starts]
-        order = np.lexsort((starts, distance))
+        # Few distinct distances: small numbers are sorted by counting.
+        order = np.argsort(distance.astype(np.uint16) if distance.max(initial=0) < 1 << 16 else distance, kind="stable")
         cuts = np.searchsorted(distance[order], np.arange(1, (distance.max() if len(order) else 0) + 2))
         last = np.full(n + 1, -1, np.int64)
         edge = np.full(n + 1, -1, np.int64)
@@ -321,19 +393,18 @@ class Encoder:
 
     def _fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces encodes to itself."""
-        keys, back = np.unique(left << 32 | right, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), max(len(self.pair_keys) - 1, 0))
-        missing = keys[self.pair_keys[at] != keys] if len(self.pair_keys) else keys
-        if len(missing):
-            answers = self.model.side_by_side(missing >> 32, missing & 0xFFFFFFFF)
-            if len(self.pair_keys) > _KEPT_PAIRS:
-                self.pair_keys, self.pair_fits = self.pair_keys[:0], self.pair_fits[:0]
-                return self._fit(left, right)
-            all_keys = np.concatenate((self.pair_keys, missing))
-            order = np.argsort(all_keys, kind="stable")
-            self.pair_keys, self.pair_fits = all_keys[order], np.concatenate((self.pair_fits, answers))[order]
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_fits[at][back]
+        keys = left << 32 | right
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.pair_shift).astype(np.int64)
+        fits = self.pair_fits[at]
+        missed = np.flatnonzero(self.pair_keys[at] != keys)
+        if len(missed):
+            fresh, back = np.unique(keys[missed], return_inverse=True)
+            answers = self.model.side_by_side(fresh >> 32, fresh & 0xFFFFFFFF)
+            fits[missed] = answers[back]
+            # Of several new pairs with one place one is kept.
+            place, own = np.unique(at[missed], return_index=True)
+            self.pair_keys[place], self.pair_fits[place] = fresh[back[own]], answers[back[own]]
+        return fits
 
     def _read_back(self, edge, starts, piece, begins, sizes) -> list[tuple[int, ...]]:
         """Ids of every chunk, from its end back to its begin, all chunks a step at a time."""
@@ -349,14 +420,21 @@ class Encoder:
         chunks, pieces = np.concatenate(found_chunk[::-1]), np.concatenate(found_piece[::-1])
         order = np.argsort(chunks, kind="stable")
         counts = np.bincount(chunks, minlength=len(begins))
-        ids, out, start = pieces[order].tolist(), [], 0
+        ordered = pieces[order]
         size, byte_ids = len(self.model.texts), self.model.byte_ids
-        for count in counts.tolist():
-            own = ids[start:start + count]
-            start += count
-            if own and max(own) >= size:
-                own = [i for p in own for i in ([p] if p < size else [byte_ids.get(b, self.model.processor.unk_id()) for b in chr(p - size).encode()])]
-            out.append(tuple(map(self.numbers.__getitem__, own)))  # one object for each id
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        bare = np.unique(np.searchsorted(bounds, np.flatnonzero(ordered >= size), "right") - 1)
+        own_ids = {
+            i: [b for p in ordered[bounds[i]:bounds[i + 1]].tolist()
+                for b in ([p] if p < size else [byte_ids.get(c, self.model.processor.unk_id()) for c in chr(p - size).encode()])]
+            for i in bare.tolist()
+        }
+        # One object for each id.
+        ids = list(map(self.numbers.__getitem__, np.minimum(ordered, size - 1).tolist()))
+        bounds = bounds.tolist()
+        out = [tuple(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+        for i, own in own_ids.items():
+            out[i] = tuple(map(self.numbers.__getitem__, own))
         return out
 
 
@@ -385,7 +463,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc
             for part in _parts(batch):
                 texts = [v.as_py() or "" for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(encoder(texts), pa.list_(pa.int32()))], names=["id", "text", "ids"]
+                    [part.column(0), part.column(1), encoder.lists(texts)], names=["id", "text", "ids"]
                 )
         encoder.forget()  # the worker may go on with another stage
 
@@ -414,7 +492,6 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = _decoder(model)
         for batch in batches:
-            texts = [text_of(v.values.to_pylist()) for v in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=["id", "text", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_of(batch.column(2)), pa.string())], names=["id", "text", "ids", "decoded"])
 
     return encoded.select("id", "text", "ids").mapInArrow(run, f"id {kind}, text string, ids array<int>, decoded string")
