@@ -297,6 +297,7 @@ class Encoder:
         whole = [self.model.processor.normalize(t).encode() for t in texts]
         data = b"".join(whole)
         ends = np.cumsum([0, *map(len, whole)])
+        del whole
         bounds = self.model.chunk_bounds(np.frombuffer(data, np.uint8), ends)
         chunks = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
         distinct, index = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
@@ -492,6 +493,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text_of = _decoder(model)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text_of(batch.column(2)), pa.string())], names=["id", "text", "ids", "decoded"])
+            for part in _parts(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_of(part.column(2)), pa.string())], names=["id", "text", "ids", "decoded"])
 
     return encoded.select("id", "text", "ids").mapInArrow(run, f"id {kind}, text string, ids array<int>, decoded string")
