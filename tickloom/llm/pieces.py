@@ -36,7 +36,7 @@ SPACE = "▁"
 #: Chunks of a generation (the last two are kept) and the size of the table of piece pairs a worker remembers; forgetting costs time alone.
 _KEPT_CHUNKS, _KEPT_PAIRS = 120_000, 1 << 21
 #: Longest run of texts, and of new parts, in characters, that is taken at once.
-_BATCH_CHARS, _INDEX_CHARS = 2_000_000, 200_000
+_BATCH_CHARS, _INDEX_CHARS = 1_000_000, 200_000
 #: Ids whose bytes are put together at once.
 _DECODED_IDS = 500_000
 
