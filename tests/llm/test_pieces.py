@@ -74,3 +74,33 @@ def test_pairs_side_by_side_equal_the_merges():
     left, right = np.concatenate((left, cut[:, 0])), np.concatenate((right, cut[:, 1]))
     want = [model.merge(model.text(a) + model.text(b)) == [model.text(a), model.text(b)] for a, b in zip(left.tolist(), right.tolist())]
     assert model.side_by_side(left, right).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_suffix_array_of_many_symbols_and_levels():
+    """Fewer symbols fit in a number the more there are, so ranks are doubled more often; absent symbols match nothing."""
+    draw = np.random.default_rng(8)
+    codes = draw.choice(np.concatenate((np.full(30_000, 7), np.arange(1, 30_000))), 3000)
+    codes[500:560] = codes[100:160]
+    index = op.SuffixArray(codes, 12)
+    assert len(index.levels) > 2
+    starts, lengths = draw.integers(0, 2980, 300), draw.integers(1, 13, 300)
+    patterns = codes[starts[:, None] + np.arange(12)]
+    patterns[::5, 0] = 40_000
+    low, high = index.ranges(patterns, lengths)
+    for p, n, a, b in zip(patterns, lengths, low, high):
+        want = [i for i in range(3000 - n + 1) if (codes[i:i + n] == p[:n]).all()]
+        assert sorted(index.order[a:b].tolist()) == want
+
+
+def test_decoding_in_blocks_of_any_size(monkeypatch):
+    with open(op.default_model(), "rb") as file:
+        decoder = op.Decoder(file.read())
+    reference = library()
+    lists = [reference.encode(t) for t in NASTY] + [[], [5, 200, 255]]
+    want = [reference.decode(ids) for ids in lists[:-1]]
+    array = op.pa.array([[1], *lists], op.pa.list_(op.pa.int32())).slice(1)
+    whole = decoder(array)
+    assert whole[:-1] == want
+    for ids in (1, 3, 64):
+        monkeypatch.setattr(op, "_DECODED_IDS", ids)
+        assert decoder(array) == whole
