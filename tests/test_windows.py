@@ -119,3 +119,12 @@ def test_plan_shuffles_on_symbol_and_slice_only(spark):
     # Ticks move twice; the other shuffles (at most three) carry one row per slice.
     moves = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(moves) <= 5 and sum("_home" in line for line in moves) == 1
+
+
+@pytest.mark.parametrize("name", ["level_tests", "volatility", "large_print_ratio", "spread_volatility"])
+def test_feature_alone_sees_the_rows_before_its_slice(spark, name):
+    """Rows of earlier slices leave after the values are found, also where no window of Spark's stands between."""
+    df = rolling_features(frame(spark, tape(9, 50, [1000])), [name], [60], slice_seconds=10)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    own = [line for line in plan.splitlines() if "Filter" in line and "_own" in line]
+    assert len(own) == 1 and plan.index(own[0]) < plan.index("ArrowEvalPython")
