@@ -128,6 +128,30 @@ def test_matched_streams_equal_the_batch_form(spark):
     assert rows(got, *columns) == rows(want, *columns) and want.filter("timed_out").count() > 0
 
 
+def test_matched_streams_hold_short_slices(spark):
+    """The join compares a request with all responses of its slice."""
+    log = spark.readStream.format("rate").load().selectExpr(
+        "value as msg_id", "'a' as symbol", "timestamp as time", "1 as direction", "1D as confidence")
+    for seconds in (1, 5):
+        plan = match_signal_streams(log, log, "5 seconds", seconds)._jdf.queryExecution().analyzed().toString()
+        assert str(2_000_000 * seconds) in plan and "3600000000" not in plan
+
+
+def test_landed_steps_and_messages_are_written_by_all_tasks(spark, monkeypatch):
+    """No single task reads the whole table."""
+    from tickloom.checks import stored_queries
+    from tickloom.checks.registry import QUERIES
+    table = spark.range(0, 3000, 1, 4).selectExpr(
+        "id as msg_id", "timestamp_seconds(1704067200 + id) as time", "cast(case id % 5 when 0 then 1 when 1 then 2 when 2 then 3 when 3 then 6 else 99 end as int) as type",
+        "'a' as symbol", "cast(id % 3 - 1 as int) as direction", "0.5D as confidence", "1D as value")
+    monkeypatch.setattr(stored_queries.fx, "messages", lambda spark, sf: table)
+    folders = []
+    monkeypatch.setattr(stored_queries, "scratch_path", lambda spark, label: folders.append(scratch_path(spark, label)) or folders[-1])
+    out = QUERIES["stream_route_messages"].build(spark, "")
+    assert out.count() == 3000 and len(spark.read.text(folders[0]).inputFiles()) > 3
+    assert len(glob.glob(f"{folders[1]}/batch_id=*")) == 3
+
+
 # --- sinks ---------------------------------------------------------------------------------
 
 

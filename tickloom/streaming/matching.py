@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators.joins import SIGNAL_TIMEOUT_SECONDS
-from tickloom.operators.ordered import SLICE, SLICE_SECONDS
+from tickloom.operators.ordered import SLICE
 
 
 def match_signal_streams(
@@ -14,17 +14,18 @@ def match_signal_streams(
     responses: DataFrame,
     delay: str,
     timeout_seconds: int = SIGNAL_TIMEOUT_SECONDS,
-    slice_seconds: int = SLICE_SECONDS,
+    slice_seconds: int | None = None,
 ) -> DataFrame:
     """``joins.match_signals`` of two streams: each request once, with its first response or as timed out.
 
     An interval join keeps both sides until the watermarks (``delay`` behind the latest time of either) show that nothing can
     match any more; a request without a match comes out when its state expires, and an aggregation by request, closed by the same watermark,
     keeps the first of several. State is dealt by (symbol, slice), so a busy symbol spreads over tasks; a response close
-    behind a slice boundary is also held in the slice before it. A request without symbol, time or id has no answer to wait
+    behind a slice boundary is also held in the slice before it. The join compares a request with every response of its slice, so slices
+    are short: twice the time-out where nothing else is asked for. A request without symbol, time or id has no answer to wait
     for and is left out.
     """
-    slot, span = slice_seconds * 1_000_000, timeout_seconds * 1_000_000
+    slot, span = (slice_seconds or 2 * timeout_seconds) * 1_000_000, timeout_seconds * 1_000_000
     placed = "symbol IS NOT NULL AND time IS NOT NULL AND msg_id IS NOT NULL"
     asked = requests.filter(placed).withWatermark("time", delay).select(
         "msg_id", "symbol", "time", F.floor(F.unix_micros("time") / slot).alias(SLICE))
