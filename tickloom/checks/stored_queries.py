@@ -156,9 +156,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def land_in_steps(rows: DataFrame, step: F.Column, steps: range, path: str) -> None:
-    """One file for each step, the first one oldest."""
+    """One file for each step, the first one oldest; its rows are read and chosen in all tasks."""
     for i in steps:
-        rows.filter(step == i).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(step == i).repartition(1).write.mode("append").parquet(path)
 
 
 @query("stream_sent_ticks", SENT_SQL)
@@ -257,14 +257,16 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
   WHEN 6 THEN 'status_update' ELSE 'unknown' END AS kind, CASE WHEN type IN (1, 2, 3) THEN symbol END AS symbol,
   CASE WHEN type IN (1, 2) THEN msg_id END AS id, CASE WHEN type = 99 THEN 'unreadable #' || msg_id END AS line FROM messages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON lines of four kinds and unreadable ones, in three files, to tables by kind."""
+    """JSON lines of four kinds and unreadable ones, landed in three parts and taken in as many batches, to tables by kind."""
     path, out = scratch_path(spark, "messages"), scratch_path(spark, "routed")
     fields = message_fields(fx.messages(spark, sf))
     lines = concat([M.encode(fields.filter(F.col("type") == code), code).select("msg_id", "value") for code in (1, 2, 3, 6)] + [
         fields.filter("type = 99").select("msg_id", F.concat(F.lit("unreadable #"), F.col("msg_id").cast("string")).alias("value"))])
     for i in range(3):
-        lines.filter(F.col("msg_id") % 3 == i).select("value").coalesce(1).write.mode("append").text(path)
-    finish(live.route_messages(tables.stream_messages(spark, path, files_per_batch=1), out, scratch_path(spark, "ckpt"), live.CATCH_UP))
+        # In as many files as there are tasks: no task reads or writes a whole part.
+        lines.filter(F.col("msg_id") % 3 == i).select("value").write.mode("append").text(path)
+    batch = -(-len(tables.read_messages(spark, path).inputFiles()) // 3)
+    finish(live.route_messages(tables.stream_messages(spark, path, files_per_batch=batch), out, scratch_path(spark, "ckpt"), live.CATCH_UP))
     return concat([
         table.select(F.lit(kind).alias("kind"), "symbol", F.coalesce(F.col("request_id"), F.col("volume").cast("long")).alias("id"), "line")
         for kind, table in live.routed_messages(spark, out).items()])
