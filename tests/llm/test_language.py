@@ -87,3 +87,23 @@ def test_two_hundred_languages():
     for i in (0, 127, 128, 199):
         word = f"word{chr(97 + i // 26)}{chr(97 + i % 26)}"
         assert op._label([f"{word} {word} {word}"], known, 8.0)[0][0] == names[i]
+
+
+def test_words_scored_together_have_the_scores_of_each_alone():
+    counts = [("de", "straße", 4), ("de", "haus", 3), ("en", "house", 5), ("en", "street", 2), ("ru", "улица", 6), ("ru", "дом", 2)]
+    model = op.LanguageModel.of_counts(counts)
+    words = ["haus", "häuser", "streets", "qqq", "улицы", "дом", "κόσμος", "x", "a" * 5000, "housex"]
+    together = model.scores(words)
+    for word, own in zip(words, together):
+        known = [model.trigrams[g] for g in op._trigrams(word) if g in model.trigrams]
+        allowed = model.scripts.get(op.script_of(word))
+        if word in model.words:
+            want = model.word_scores[model.words[word]]
+        else:
+            want = op._shares(model.trigram_scores[known].sum(axis=0)) if known else np.full(3, -np.log(3))
+        want = np.full(3, -np.log(3)) if allowed is None else np.where(allowed, want, op._OUTSIDE)
+        np.testing.assert_allclose(own, want, atol=1e-12)
+    rows = op._WordRows(model)
+    rows.learn(words, at_once=3)
+    assert list(rows) == words and rows.lengths[:10].tolist() == list(map(len, words))
+    np.testing.assert_allclose(rows.scores[:10], together, atol=1e-6)

@@ -25,6 +25,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -78,7 +79,12 @@ def words_of(text: str) -> list[str]:
 
 def script_of(word: str) -> str:
     """Script of the first letter."""
-    code = ord(word[0])
+    return _script(word[0])
+
+
+@lru_cache(maxsize=4096)
+def _script(letter: str) -> str:
+    code = ord(letter)
     for name, ranges in SCRIPTS.items():
         if any(low <= code <= high for low, high in ranges):
             return name
@@ -133,16 +139,30 @@ class LanguageModel:
 
     def score(self, word: str) -> np.ndarray:
         """Log share of each language; all equal where nothing is known."""
-        row = self.words.get(word)
-        if row is not None:
-            scores = self.word_scores[row]
-        else:
-            known = [i for i in map(self.trigrams.get, _trigrams(word)) if i is not None]
-            scores = _shares(self.trigram_scores[known].sum(axis=0)) if known else np.full(len(self.languages), -math.log(len(self.languages)))
-        allowed = self.scripts.get(script_of(word))
-        if allowed is None or not allowed.any():
-            return np.full(len(self.languages), -math.log(len(self.languages)))
-        return np.where(allowed, scores, _OUTSIDE)
+        return self.scores([word])[0]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """``score`` of each word."""
+        out = np.full((len(words), len(self.languages)), -math.log(len(self.languages)))
+        rows = np.array([self.words.get(w, -1) for w in words], np.int64)
+        learned = rows >= 0
+        out[learned] = self.word_scores[rows[learned]]
+        others = np.flatnonzero(~learned)
+        found = [[i for i in map(self.trigrams.get, _trigrams(words[k])) if i is not None] for k in others.tolist()]
+        sizes = np.array([len(f) for f in found], np.int64)
+        if sizes.any():
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            grams = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            out[others[sizes > 0]] = _shares(np.add.reduceat(self.trigram_scores[grams], starts, axis=0))
+        names = list(map(script_of, words))
+        for script in set(names):
+            own = np.array([n == script for n in names])
+            allowed = self.scripts.get(script)
+            if allowed is None or not allowed.any():
+                out[own] = -math.log(len(self.languages))
+            else:
+                out[np.ix_(own, ~allowed)] = _OUTSIDE
+        return out
 
 
 def _log(table: np.ndarray) -> np.ndarray:
@@ -187,20 +207,23 @@ def fit(
 
 
 class _WordRows(dict):
-    """Word to row of a growing score table; unseen words are scored on first sight."""
+    """Word to row of a growing table of scores and lengths; unseen words are scored on first sight, many at once."""
 
     def __init__(self, model: LanguageModel) -> None:
         super().__init__()
         self.model, self.scores = model, np.zeros((1024, len(model.languages)), np.float32)
+        self.lengths = np.zeros(1024, np.int64)
         self.odd = False  # whether a run with a numeral has been seen
 
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[row] = self.model.score(word)
-        self[word] = row
-        return row
+    def learn(self, words: list[str], at_once: int = 4096) -> None:
+        for start in range(0, len(words), at_once):
+            part, row = words[start:start + at_once], len(self)
+            while row + len(part) > len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.scores[row:row + len(part)] = self.model.scores(part)
+            self.lengths[row:row + len(part)] = list(map(len, part))
+            self.update(zip(part, range(row, row + len(part))))
 
 
 def viterbi(rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, switch_price: float) -> np.ndarray:
@@ -286,7 +309,7 @@ def with_language(
     return docs.mapInArrow(run, docs.schema)
 
 
-def _pieces(column: pa.Array, most_chars: int = 2_000_000) -> Iterator[list[str]]:
+def _pieces(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in order, in lists of a bounded size (or of one text)."""
     piece, size = [], 0
     for value in column:
@@ -304,22 +327,23 @@ def _label(texts: list[str], known: _WordRows, switch_price: float) -> list[tupl
     languages = known.model.languages
     words = [WORD.findall(t.lower()) for t in texts]
     pattern = [WORD] * len(texts)
-    fresh = set(chain.from_iterable(words)).difference(known)
-    for word in fresh:  # scored on first sight; ``odd`` where one is not of letters alone
-        known.odd |= not word.isalpha()
+    fresh = [w for w in set(chain.from_iterable(words)) if w not in known]
+    # Scored on first sight; ``odd`` where one is not of letters alone.
+    known.odd |= not all(map(str.isalpha, fresh))
     if known.odd:
         for i, own in enumerate(words):
             if not all(map(str.isalpha, own)):
                 words[i], pattern[i] = LETTERS.findall(texts[i].lower()), LETTERS
+        fresh = [w for w in set(chain.from_iterable(words)) if w not in known]
     lengths = np.array([len(w) for w in words])
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0] if languages else order[:0]
     answers: list[tuple] = [(UNKNOWN, 0.0, [])] * len(texts)
     if not len(order):
         return answers
-    total = int(lengths[order].sum())
-    rows = np.fromiter((known[w] for i in order for w in words[i]), np.int64, total)
-    letters = np.fromiter((len(w) for i in order for w in words[i]), np.int64, total)
+    known.learn(fresh)
+    rows = np.fromiter(map(known.__getitem__, chain.from_iterable(words[i] for i in order)), np.int64, int(lengths[order].sum()))
+    letters = known.lengths[rows]
     labels = viterbi(rows, lengths[order], known.scores, switch_price)
     which = np.repeat(np.arange(len(order)), lengths[order])
     sums = np.bincount(which * len(languages) + labels, letters, len(order) * len(languages)).reshape(len(order), -1)
