@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.reference_windows import brute_force
+from tickloom.checks.tape_queries import rounded
 from tickloom.operators import counting
 from tickloom.operators.rolling import FEATURE_NAMES, feature_columns, rolling_features
 
@@ -128,3 +129,29 @@ def test_feature_alone_sees_the_rows_before_its_slice(spark, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     own = [line for line in plan.splitlines() if "Filter" in line and "_own" in line]
     assert len(own) == 1 and plan.index(own[0]) < plan.index("ArrowEvalPython")
+
+
+def test_rows_of_a_window_are_not_gone_through_again_for_every_batch(monkeypatch):
+    """A window of many batches: rows looked at grow with the rows, and the answers are those of one batch."""
+    n, windows, looked = 60_000, (10, 600), []
+    rng = np.random.default_rng(0)
+    columns = [np.arange(1, n + 1), np.sort(rng.integers(0, 300, n)) * 1_000_000, 1000 + rng.integers(0, 20, n) / 2, rng.integers(1, 90, n)]
+    moments = counting.range_moments
+    monkeypatch.setattr(counting, "range_moments", lambda values, *a, **b: looked.append(len(values)) or moments(values, *a, **b))
+    names = [f"{f}_{w}s" for f in counting.FEATURES for w in windows] + ["_dev_last_10"]
+    monkeypatch.setattr(counting, "SPREADING", ("last",))
+    run = counting._in_stretches(counting.FEATURES, ["last"], ["last", "volume"], windows, 5, names)
+    whole = pd.concat(run(iter([tuple(map(pd.Series, columns))])))
+    assert looked == [n, n]
+    looked.clear()
+    found = list(run(tuple(pd.Series(c[a:a + 1000]) for c in columns) for a in range(0, n, 1000)))
+    assert sum(looked) < 8 * n and max(map(len, found)) <= counting.ANSWER_ROWS
+    pd.testing.assert_frame_equal(pd.concat(found, ignore_index=True), whole.reset_index(drop=True), check_exact=True)
+
+
+def test_shown_decimals_are_those_of_round(spark):
+    values = [0.0, -0.0, 1.5, -2.25, 5e-7, -5e-7, 1.0000005, 2.0000015, 0.1234565, -1e-9, 99999.9999995, 1e5, 1e12 + 0.5, float("inf"), float("nan"), None]
+    values += [float(x) for x in np.random.default_rng(3).normal(size=2000) * 1000]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    shown = df.select(F.round("x", 6).cast("string").alias("a"), rounded(["x"])[0].cast("string").alias("b"))
+    assert shown.where("not (a <=> b)").count() == 0
