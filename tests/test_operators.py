@@ -84,6 +84,29 @@ def test_extract_runs_the_windows_once(spark):
     assert set(re.findall(r"(\w+)#", sent)) == {"_c_n", "_us", "last", "volume", "bid", "ask", "_ret", "spread"}
 
 
+def _ran(df) -> list[str]:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+
+
+def test_the_fill_makes_its_rows_once(spark):
+    """The last rows of the slices come from the shuffle that the rows come from, and the windows below it run once."""
+    sf = "/root/testdata/sf0.001"
+    features, columns = ["momentum", "volatility"], ["momentum_60s", "volatility_60s"]
+    filled = _ran(fill_features(R.rolling_features(fx.ticks(spark, sf), features, [60]), columns))
+    table = _ran(extract_features(fx.ticks(spark, sf), None, features, [60]))
+    for plan in (filled, table):
+        assert sum("Window [max(_snap" in x for x in plan) == 1 and any("ReusedExchange" in x for x in plan)
+
+
+def test_a_fill_leaves_rows_without_keys_to_themselves(spark):
+    rows = [(1, "a", 0, 1.0), (2, "a", 1, None), (3, "a", 9000, None), (4, None, 2, 5.0), (5, None, 2, None), (6, "a", None, 7.0), (6, "a", None, None),
+            (7, "", 3, None), (8, "a", 9001, float("inf"))]
+    df = spark.createDataFrame(rows, "tick_id long, symbol string, s long, x double").selectExpr("tick_id", "symbol", "timestamp_seconds(s) as time", "x")
+    got = sorted((r["tick_id"], r["x"]) for r in fill_features(df, ["x"]).collect())
+    assert got == [(1, 1.0), (2, 1.0), (3, 1.0), (4, 5.0), (5, 0.0), (6, 0.0), (6, 7.0), (7, 0.0), (8, 0.0)]
+
+
 def test_rows_without_keys_stay(spark, random_tape):
     holed = frame(spark, random_tape).withColumn("symbol", F.when(F.col("tick_id") % 10 != 0, F.col("symbol")))
     out = extract_features(holed, features=["momentum", "volatility"], windows=[60])
