@@ -293,20 +293,25 @@ def with_language(
 
     Where the model has learned nothing, only texts without a letter are.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_column)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # The texts alone go to Python, and nothing comes back but the answer.
+    @F.arrow_udf("boolean")
+    def known_language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = _WordRows(shared.value)
-        for batch in batches:
+        for column in texts:
             if len(known) > _KEPT_WORDS:
                 known = _WordRows(shared.value)
             if known.model.languages:
-                keep = [a[0] != UNKNOWN for t in _pieces(batch.column(at)) for a in _label(t, known, switch_price)]
+                keep = [a[0] != UNKNOWN for t in _pieces(column) for a in _label(t, known, switch_price)]
             else:
-                keep = [bool(LETTERS.search(t.as_py() or "")) for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                keep = [bool(LETTERS.search(t.as_py() or "")) for t in column]
+            yield pa.array(keep, pa.bool_())
+        # The worker stays after its task.
+        del known
+        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known_language(F.col(text_column)))
 
 
 def _pieces(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[str]]:
