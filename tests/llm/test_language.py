@@ -80,6 +80,16 @@ def test_numerals_are_no_letters(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
 
 
+def test_only_texts_go_to_python(spark):
+    """Whole rows neither go there nor come back."""
+    docs = toy(spark)
+    kept = op.with_language(docs, op.fit(docs))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    steps = [x for x in plan.splitlines() if "ArrowEvalPython" in x]
+    assert "MapInArrow" not in plan and len(steps) == 1 and "(text#" in steps[0]
+    assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_two_hundred_languages():
     names = [f"l{i:03d}" for i in range(200)]
     model = op.LanguageModel.of_counts([(n, f"word{chr(97 + i // 26)}{chr(97 + i % 26)}", 3) for i, n in enumerate(names)])
