@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from tests.llm.helpers import edge_rows, frame
 from tickloom.llm import language as op
+from tickloom.llm.shared import small_batches
 
 
 def test_held_out_accuracy(spark):
@@ -117,3 +119,30 @@ def test_words_scored_together_have_the_scores_of_each_alone():
     rows.learn(words, at_once=3)
     assert list(rows) == words and rows.lengths[:10].tolist() == list(map(len, words))
     np.testing.assert_allclose(rows.scores[:10], together, atol=1e-6)
+
+
+def test_a_task_remembers_a_bounded_number_of_words(monkeypatch):
+    """However many texts stand in one batch, and with the same answers."""
+    model = op.LanguageModel.of_counts([("en", "water", 5), ("de", "wasser", 5)])
+    texts = pa.array([" ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20)) for i in range(400)] + ["1 2", None, "water"])
+    want = [True] * 400 + [False, False, True]
+    assert next(op._has_language([texts], model, 8.0)).to_pylist() == want
+    most, learn, pieces = [], op._WordRows.learn, op._pieces
+    monkeypatch.setattr(op._WordRows, "learn", lambda self, words: (learn(self, words), most.append(len(self))))
+    monkeypatch.setattr(op, "_pieces", lambda column: pieces(column, 1000))
+    monkeypatch.setattr(op, "_KEPT_WORDS", 300)
+    assert next(op._has_language([texts], model, 8.0)).to_pylist() == want
+    assert len(most) > 10 and max(most) <= 300 + 1000 // 5
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    for given, want in (("64m", 4 << 20), ("100k", 100 << 10)):
+        own.conf.set(setting, given)
+        small_batches(own)
+        assert own.conf.get(setting) in (f"{want}b", str(want), given) and (own.conf.get(setting) == given) == (given == "100k")
+    docs = toy(spark)
+    spark.conf.unset(setting)
+    op.with_language(docs, op.fit(docs)).count()
+    assert spark.conf.get(setting).rstrip("b") == str(4 << 20)

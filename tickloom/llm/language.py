@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import small_batches
+
 UNKNOWN = "und"
 #: Code ranges of the common scripts (fixed values); letters outside are "other".
 SCRIPTS = {
@@ -57,7 +59,8 @@ WORD = re.compile(r"[^\W\d_]+")
 SCRIPT_SHARE = 0.01
 #: Scores of scripts a language does not use, and the least share a language can have of a word.
 _OUTSIDE, _LEAST = math.log(1e-6), 1e-4
-_KEPT_WORDS = 150_000
+#: Words whose scores a task remembers, beside those of one piece of text.
+_KEPT_WORDS = 100_000
 
 
 def _letters() -> re.Pattern:
@@ -225,6 +228,10 @@ class _WordRows(dict):
             self.lengths[row:row + len(part)] = list(map(len, part))
             self.update(zip(part, range(row, row + len(part))))
 
+    def bounded(self) -> _WordRows:
+        """These rows, or empty ones once there are too many."""
+        return self if len(self) <= _KEPT_WORDS else _WordRows(self.model)
+
 
 def viterbi(rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, switch_price: float) -> np.ndarray:
     """Labels of the words of many texts at once.
@@ -271,10 +278,10 @@ def identify(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordRows(shared.value)
         for batch in batches:
-            if len(known) > _KEPT_WORDS:
-                known = _WordRows(shared.value)
-            found = [_label(t, known, switch_price) for t in _pieces(batch.column(1))]
-            answers = [answer for piece in found for answer in piece]
+            answers = []
+            for piece in _pieces(batch.column(1)):
+                known = known.bounded()
+                answers += _label(piece, known, switch_price)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a[0] for a in answers], pa.string()), pa.array([a[1] for a in answers], pa.float64()),
                  pa.array([a[2] for a in answers], pa.list_(span))],
@@ -295,25 +302,32 @@ def with_language(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    small_batches(docs.sparkSession)
+
     # The texts alone go to Python, and nothing comes back but the answer.
     @F.arrow_udf("boolean")
     def known_language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _WordRows(shared.value)
-        for column in texts:
-            if len(known) > _KEPT_WORDS:
-                known = _WordRows(shared.value)
-            if known.model.languages:
-                keep = [a[0] != UNKNOWN for t in _pieces(column) for a in _label(t, known, switch_price)]
-            else:
-                keep = [bool(LETTERS.search(t.as_py() or "")) for t in column]
-            yield pa.array(keep, pa.bool_())
+        yield from _has_language(texts, shared.value, switch_price)
         # The worker stays after its task.
-        del known
         pa.default_memory_pool().release_unused()
 
     return docs.where(known_language(F.col(text_column)))
 
 
+def _has_language(columns: Iterable[pa.Array], model: LanguageModel, switch_price: float) -> Iterator[pa.Array]:
+    """For each text whether a language is found, or a letter where none was learned."""
+    known = _WordRows(model)
+    for column in columns:
+        keep = []
+        for piece in _pieces(column):
+            known = known.bounded()
+            if model.languages:
+                keep += [a[0] != UNKNOWN for a in _label(piece, known, switch_price)]
+            else:
+                keep += [bool(LETTERS.search(t)) for t in piece]
+        yield pa.array(keep, pa.bool_())
+
+
 def _pieces(column: pa.Array, most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in order, in lists of a bounded size (or of one text)."""
     piece, size = [], 0
