@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -149,6 +151,30 @@ def test_rows_of_a_window_are_not_gone_through_again_for_every_batch(monkeypatch
     pd.testing.assert_frame_equal(pd.concat(found, ignore_index=True), whole.reset_index(drop=True), check_exact=True)
 
 
+def test_a_dense_window_takes_little_memory():
+    """What a Python worker allocates for each row of its longest window, with all columns of the features."""
+    in_window, windows, moments = 60_000, (10, 30, 60, 300, 600), ["mid", "ret", "spread"]
+    names = [f"_{p}_{n}_{w}" for n in moments for w in windows for p in ("n", "mean", "dev") if p != "dev" or n in counting.SPREADING]
+    names += [f"{f}_{w}s" for f in counting.FEATURES for w in windows]
+    run = counting._in_stretches(counting.FEATURES, moments, [*moments, "last", "volume"], windows, 5, names)
+    rng = np.random.default_rng(1)
+
+    def parts():
+        for at in range(0, 3 * in_window, 10_000):
+            row = np.arange(at, at + 10_000)
+            values = [1000 + rng.integers(0, 40, 10_000) / 4, rng.normal(size=10_000), 1.0 * rng.integers(1, 4, 10_000),
+                      1000 + rng.integers(0, 40, 10_000) / 2, 1.0 * rng.integers(1, 90, 10_000)]
+            yield tuple(map(pd.Series, (row + 1, row * 600 // in_window * 1_000_000, *values)))
+
+    tracemalloc.start()
+    try:
+        rows = sum(map(len, run(parts())))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 3 * in_window and peak < 900 * in_window
+
+
 def test_shown_decimals_are_those_of_round(spark):
     values = [0.0, -0.0, 1.5, -2.25, 5e-7, -5e-7, 1.0000005, 2.0000015, 0.1234565, -1e-9, 99999.9999995, 1e5, 1e12 + 0.5, float("inf"), float("nan"), None]
     values += [float(x) for x in np.random.default_rng(3).normal(size=2000) * 1000]
